@@ -176,3 +176,47 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts = np.flatnonzero(begin[:n]) if n else np.zeros(0, np.int64)
     ends = np.flatnonzero(finish)
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def runs_of(batches, n_keys: int):
+    """Yields (key, table) for each run of equal values in the first ``n_keys`` integer columns.
+
+    For partitions that are sorted by those columns: a run is held whole, the
+    rows of other runs are not.
+    """
+    key, parts = None, []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)])
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        bounds = [0, *cuts.tolist(), n]
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            k = tuple(keys[s].tolist())
+            if k != key and parts:
+                yield key, pa.Table.from_batches(parts)
+                parts = []
+            key = k
+            parts.append(batch.slice(s, e - s))
+    if parts:
+        yield key, pa.Table.from_batches(parts)
+
+
+def union_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each node's component, for links a[i] - b[i] among 0 .. n-1."""
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        open_ = low != high
+        if not open_.any():
+            break
+        np.minimum.at(root, high[open_], low[open_])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        a, b = a[open_], b[open_]
+    return root

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import packing, sharding, warc
+from pyspark.sql import functions as F
+
+from quillon.llm import ann, html_text, mixing, neardup_vectors, packing, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,19 +19,46 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_documents(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ids of byte_bpe_50k.json
     return packing.pack_documents(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op7_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op9_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_read(spark, sf_dir, "pages"))
+
+
+def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_warc_normaliser": op2_warc_normaliser,
+    "op3_multinomial_mix": op3_multinomial_mix,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
+    "op6_collision_counting": op6_collision_counting,
+    "op7_one_bit_codes": op7_one_bit_codes,
     "op8_feistel_shards": op8_feistel_shards,
+    "op9_wrapper_induction": op9_wrapper_induction,
+    "op10_positive_unlabelled": op10_positive_unlabelled,
 }
 
 ORACLES = {
