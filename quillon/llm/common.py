@@ -129,6 +129,12 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix64((prefix[end] - prefix[start]) * q[start] + (end - start).astype(np.uint64))
 
 
+def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + lengths[i] - 1, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 def text_chunks(column: pa.Array, limit: int = 2 << 20):
     """Yields (first, last, bytes, offsets) of runs of whole texts of about ``limit`` bytes.
 

@@ -64,6 +64,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PARTS = re.compile(r"[a-z]+")
 
+#: Entries up to which the templates go to all tasks; above, pages are dealt by host.
+BROADCAST_ENTRIES = 200_000
+
 BLOCKS = "page_id bigint, url string, host string, shape string, blocks array<struct<node:int,article:boolean,text:string>>"
 
 
@@ -328,6 +331,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     aligned, template = induce(parsed)
     # only hosts that have a template need their pages' alignment
     aligned = aligned.join(template, "host").select("host", "shape", "slots", "fixed")
+    size = template.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fixed")).alias("m")).first()
+    if size.n * 200 + (size.m or 0) <= BROADCAST_ENTRIES:
+        aligned = F.broadcast(aligned)  # checked: few hosts with a template, few texts each
     out = parsed.join(aligned, ["host", "shape"], "left")
     varying = F.when(
         F.col("fixed").isNull(), F.col("blocks")

@@ -7,13 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quillon.llm import ann, html_text, mixing, neardup_vectors, packing, quality, sharding, warc
+from quillon.llm import (
+    ann,
+    html_text,
+    jaccard_join,
+    mixing,
+    neardup_vectors,
+    packing,
+    quality,
+    sharding,
+    suffix_dedup,
+    warc,
+)
+from quillon.shipping import ship_package
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.jaccard_classes(_read(spark, sf_dir, "documents"), k=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(_read(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -24,6 +42,11 @@ def op3_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs, length=400, keep_text=False)
+
+
 def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ids of byte_bpe_50k.json
     return packing.pack_documents(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -51,8 +74,10 @@ def op10_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_warc_normaliser": op2_warc_normaliser,
     "op3_multinomial_mix": op3_multinomial_mix,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_minimum_bin_slack": op5_minimum_bin_slack,
     "op6_collision_counting": op6_collision_counting,
     "op7_one_bit_codes": op7_one_bit_codes,
