@@ -3,9 +3,9 @@
 Each vector is rotated; the signs of the rotated direction are its code.  With
 o the unit vector and b the code as a unit vector, <b, q> / <b, o> estimates
 <o, q>, off by at most ``eps * sqrt((1 - <b,o>^2) / <b,o>^2 / (d - 1))`` for a
-unit q, but for a chance that falls quickly with ``eps``.  Per block of vectors
-and queries, the k-th best lower bound chooses the vectors that are reranked
-by the exact inner product.
+unit q, but for a chance that falls quickly with ``eps``.  Vectors whose
+upper bound reaches the k-th best so far (at first the k-th best lower bound)
+are reranked by the exact inner product.
 """
 
 from __future__ import annotations
@@ -21,13 +21,17 @@ from quillon.llm.common import is_valid_vector, materialize, runs_of
 
 BLOCK = 4096
 QUERY_BLOCK = 2048
-EPS = 2.5
+EPS = 2.8
+#: Bits of a code for each dimension: vectors are padded with zeros before the rotation.
+BITS = 4
 INDEX = "block bigint, ids binary, codes binary, norms binary, fixes binary, vectors binary"
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, seed: int, bits: int | None = None) -> np.ndarray:
+    """A random rotation, after padding with zeros to ``bits``: dim x bits, rows orthonormal."""
+    bits = bits or BITS * dim
+    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dim)))
+    return q.T
 
 
 def encode(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,42 +39,60 @@ def encode(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     norms = np.linalg.norm(x, axis=1)
     turned = (x / norms[:, None]) @ rot
     bits = turned > 0
-    fixes = np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
+    fixes = np.abs(turned).sum(axis=1) / np.sqrt(rot.shape[1])
     return np.packbits(bits, axis=1), norms, fixes
 
 
 def estimate(codes: np.ndarray, norms, fixes, queries: np.ndarray, rot: np.ndarray, eps: float):
     """Estimates of <x, q> for all rows and queries, and how far off they may be."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+    bits = rot.shape[1]
+    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
     turned = (queries @ rot).astype(np.float32)
-    raw = turned @ signs.T / np.sqrt(dim)
-    q_norm = np.linalg.norm(queries, axis=1)
-    off = np.sqrt(np.maximum(1 - fixes**2, 0)) / fixes / np.sqrt(max(dim - 1, 1)) * eps * norms
-    return raw * (norms / fixes).astype(np.float32), q_norm[:, None] * off[None, :]
-
-
-def block_top(x_ids, x, codes, norms, fixes, q_ids, q, rot, k: int, eps: float):
-    """(query, id, score) of the best ``k`` of a block for each query, rows of its own id left out."""
-    out = []
-    for s in range(0, len(q), 256):
-        ids, part = q_ids[s : s + 256], q[s : s + 256]
-        est, off = estimate(codes, norms, fixes, part, rot, eps)
-        own = x_ids[None, :] == ids[:, None]
-        est[own] = -np.inf
-        lower = est - off
-        kth = np.partition(lower, -k, axis=1)[:, -k] if lower.shape[1] > k else np.full(len(part), -np.inf)
-        qi, xi = np.nonzero((est + off >= kth[:, None]) & ~own)
-        score = np.empty(len(qi))
-        for a in range(0, len(qi), 100_000):
-            z = slice(a, a + 100_000)
-            score[z] = np.einsum("ij,ij->i", part[qi[z]], x[xi[z]])
-        order = np.lexsort((x_ids[xi], -score, qi))
-        qi, xi, score = qi[order], xi[order], score[order]
-        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        best = rank < k
-        out.append((ids[qi[best]], x_ids[xi[best]], score[best]))
-    return [np.concatenate(c) for c in zip(*out)]
+    raw = turned @ signs.T / np.float32(np.sqrt(bits))
+    off = np.sqrt(np.maximum(1 - fixes**2, 0)) / fixes / np.sqrt(max(bits - 1, 1)) * eps * norms
+    return raw * (norms / fixes).astype(np.float32), np.linalg.norm(queries, axis=1), off.astype(np.float32)
+
+
+class Best:
+    """The ``k`` best of each query so far; their worst score bounds what later blocks must reach."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, rot: np.ndarray, eps: float):
+        self.q_ids, self.q, self.k, self.rot, self.eps = q_ids, q, k, rot, eps
+        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(q), k), -np.inf)
+
+    def add(self, x_ids, x, codes, norms, fixes) -> None:
+        k = self.k
+        for s in range(0, len(self.q), 256):
+            z = slice(s, s + 256)
+            est, q_norm, off = estimate(codes, norms, fixes, self.q[z], self.rot, self.eps)
+            own = x_ids[None, :] == self.q_ids[z][:, None]
+            est[own] = -np.inf
+            reach = q_norm[:, None].astype(np.float32) * off[None, :]
+            least = self.scores[z, -1]
+            if est.shape[1] > k and np.isinf(least).any():
+                least = np.maximum(least, np.partition(est - reach, -k, axis=1)[:, -k])
+            est += reach
+            qi, xi = np.nonzero((est >= least[:, None]) & ~own)
+            score = np.empty(len(qi))
+            for a in range(0, len(qi), 100_000):
+                c = slice(a, a + 100_000)
+                score[c] = np.einsum("ij,ij->i", self.q[z][qi[c]], x[xi[c]])
+            good = score >= self.scores[z, -1][qi]
+            qi, ids, score = qi[good], x_ids[xi[good]], score[good]
+            for row in np.unique(qi):
+                lo, hi = np.searchsorted(qi, (row, row + 1))
+                i = np.concatenate((self.ids[s + row], ids[lo:hi]))
+                v = np.concatenate((self.scores[s + row], score[lo:hi]))
+                top = np.lexsort((i, -v))[:k]
+                self.ids[s + row], self.scores[s + row] = i[top], v[top]
+
+    def rows(self) -> pa.RecordBatch:
+        keep = ~np.isinf(self.scores)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.q_ids, keep.sum(axis=1))), pa.array(self.ids[keep]), pa.array(self.scores[keep])],
+            names=["query_id", "vec_id", "score"],
+        )
 
 
 def build_index(vectors: DataFrame, dim: int, seed: int = 5, block: int = BLOCK) -> DataFrame:
@@ -143,27 +165,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = EP
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     blocks = query_blocks(asked, dim, n_blocks)
     # fragment and replicate: every index block goes to each query block once
+    width = min(n_blocks * spread, 100_000)
     wide = index.withColumn("s", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int"))
-    pairs = wide.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    copies = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    pairs = pairs.join(copies, ["qb", "s"])
+    pairs = wide.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(width, "qb", "s")
+    copies = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).repartition(width, "qb", "s")
+    pairs = pairs.join(copies.hint("merge"), ["qb", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot = rotation(dim, seed)
+        rot, key, best = rotation(dim, seed), None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = [batch.column(c)[i].as_buffer() for c in range(7)]
+                at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                cell = [batch.column(c)[i].as_buffer() for c in range(2, 9)]
+                if at != key:
+                    if best is not None:
+                        yield best.rows()
+                    q_ids = np.frombuffer(cell[5], "<i8")
+                    best, key = Best(q_ids, np.frombuffer(cell[6]).reshape(len(q_ids), dim), k, rot, eps), at
                 ids, norms, fixes = np.frombuffer(cell[0], "<i8"), np.frombuffer(cell[2]), np.frombuffer(cell[3])
                 codes = np.frombuffer(cell[1], np.uint8).reshape(len(ids), -1)
-                x = np.frombuffer(cell[4]).reshape(len(ids), dim)
-                q_ids = np.frombuffer(cell[5], "<i8")
-                q = np.frombuffer(cell[6]).reshape(len(q_ids), dim)
-                a, b, score = block_top(ids, x, codes, norms, fixes, q_ids, q, rot, k, eps)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(score)], names=["query_id", "vec_id", "score"]
-                )
+                best.add(ids, np.frombuffer(cell[4]).reshape(len(ids), dim), codes, norms, fixes)
+        if best is not None:
+            yield best.rows()
 
-    near = pairs.select("ids", "codes", "norms", "fixes", "vectors", "q_ids", "q").mapInArrow(
+    near = pairs.select("qb", "s", "ids", "codes", "norms", "fixes", "vectors", "q_ids", "q").mapInArrow(
         run, "query_id bigint, vec_id bigint, score double"
     )
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

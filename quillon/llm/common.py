@@ -1,44 +1,16 @@
-"""Scratch tables, components and byte-level hashing shared by the operators."""
+"""Byte-level hashing and array helpers shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_UNSET: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``.
-
-    Only a local master may lack that setting (as in tests); it then gets a
-    temporary folder.  A cluster without it is an error, since a folder of one
-    machine is not visible to the others.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return _UNSET.setdefault("dir", tempfile.mkdtemp(prefix="quillon-"))
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads survive lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillon.operators.graph import connected_components
+from quillon.storage import materialize
 
-
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+__all__ = ["connected_components", "materialize"]
 
 
 def is_valid_vector(v: Column) -> Column:
@@ -48,45 +20,6 @@ def is_valid_vector(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node in ``edges`` (a, b); component is the smallest node.
-
-    Alternates large-star and small-star contractions: each node's row count
-    stays near its degree, so a hub only ever holds a star, and the rounds grow
-    with the logarithm of the path length.  Every round is a written table.
-    Rows with a null or equal ends are ignored, an empty input gives no rows.
-    """
-    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    edges = edges.filter("a is not null and b is not null and a <> b")
-    cur = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0"
-    )
-    if cur.isEmpty():
-        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    done = False
-    for i in range(1, max_rounds + 1):
-        # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
-        both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours go to the smallest of them
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
-        )
-        nxt = materialize(small.filter("u <> v").distinct(), f"{label}-{i}")
-        # finished when every node points once and no target points further
-        stats = nxt.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("d")).first()
-        if stats.n == stats.d and nxt.join(nxt.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            cur, done = nxt, True
-            break
-        cur = nxt
-    if not done:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
-
-
 # --------------------------------------------------------------------- bytes
 
 MASK = (1 << 64) - 1
