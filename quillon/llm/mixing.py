@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, words_of
 
 BLOCK = 64
 SHARD_BLOCKS = 4096
@@ -145,10 +146,11 @@ class Mix:
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             token_count(F.col("text").cast("string")).alias("size"),
+            F.xxhash64(F.col("text").cast("string")).alias("text_key"),
         )
         # counting words reads all texts: done once
         sized = materialize(
-            sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(BUCKETS)).cast("int")), "mix-sizes"
+            sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BUCKETS)).cast("int")), "mix-sizes"
         )
         # sources x BUCKETS rows
         totals = sized.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"))
@@ -170,12 +172,12 @@ class Mix:
         ahead = totals.select(
             F.col("source").alias("s"), F.col("bucket").alias("b"), (F.sum("tokens").over(by) - F.col("tokens")).alias("ahead")
         )
-        inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        inner = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
         placed = sized.withColumn("upto", F.sum("size").over(inner))
         placed = placed.join(F.broadcast(ahead), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
         placed = placed.join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("source_name")))
         self.documents = placed.select(
-            "doc_id", "source", "source_no", "size", "source_size", "target",
+            "doc_id", "text_key", "source", "source_no", "size", "source_size", "target",
             (F.col("ahead") + F.col("upto") - F.col("size")).alias("start"),
         )
 
@@ -214,10 +216,13 @@ class Mix:
         hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.block)
         return out.withColumns({"within": lo - F.col("start"), "tokens": hi - lo})
 
+    def uses(self) -> DataFrame:
+        return self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+
     def taken(self) -> DataFrame:
         """Each document with the tokens that the mix takes of it, repeats counted."""
-        uses = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
-        keys = ["doc_id", "source", "source_no", "size", "source_size", "target", "start"]
+        uses = self.uses()
+        keys = ["doc_id", "text_key", "source", "source_no", "size", "source_size", "target", "start"]
         # documents of no tokens share their start with others of none: they skip the join
         spans = self.spans()
         some = spans.filter("size > 0").join(uses, ["source_no", "block"], "left")
@@ -229,3 +234,51 @@ class Mix:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
     return Mix(docs, **options).taken().select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``docs``: for each copy that the mix takes of a document, a row with the text it takes.
+
+    The first copy holds the blocks that are taken once at least, the second
+    those taken twice, and so on; gaps between blocks become a line break.
+    Documents of which nothing is taken have no row.  n_chars, if there, is
+    that of the new text.  Rows that agree in doc_id, text and source are taken
+    as one document.
+    """
+    mix = Mix(docs, **options)
+    spans = mix.spans().filter("size > 0").join(mix.uses(), ["source_no", "block"])
+    spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source")).agg(
+        F.array_sort(F.collect_list(F.struct("within", "tokens", "uses"))).alias("_spans")
+    )
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+        & (F.col("_text_key") == F.col("_key"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    )
+    joined = keyed.join(spans, same).select(*[keyed[c] for c in docs.columns], "_spans")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts = [], []
+            for i in range(batch.num_rows):
+                raw = batch.column(at)[i].as_py().encode()
+                data = np.frombuffer(raw, np.uint8)
+                starts, ends, _ = words_of(data, np.array([0, len(data)]))
+                own = batch.column(batch.num_columns - 1)[i].values
+                within, tokens, uses = (own.field(c).to_numpy() for c in ("within", "tokens", "uses"))
+                for copy in range(int(uses.max())):
+                    pieces: list[list[int]] = []
+                    for w, t in zip(within[uses > copy].tolist(), tokens[uses > copy].tolist()):
+                        if pieces and pieces[-1][1] == w:
+                            pieces[-1][1] = w + t
+                        else:
+                            pieces.append([w, w + t])
+                    rows.append(i)
+                    texts.append(b"\n".join(raw[starts[a] : ends[b - 1]] for a, b in pieces).decode())
+            out = batch.take(pa.array(rows, pa.int64())).select(range(batch.num_columns - 1))
+            yield out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

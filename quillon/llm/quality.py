@@ -129,7 +129,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.1, decay: float = 1e-5) -> Model:
     """Minimises the non-negative risk by Adam over all rows at once.
 
     Where the negative part falls below zero, its gradient is reversed (the
