@@ -409,7 +409,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     spark = docs.sparkSession
     rows = _keyed(docs)
     ranges = int(min(8192, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    scan = materialize(_scan(rows.select("r1", "r2", "text"), length, gram, ranges), "repeat-scan", codec="lz4")
+    scan = materialize(_scan(rows, length, gram, ranges), "repeat-scan", codec="lz4")
     shared = materialize(_shared(scan), "repeat-shared", codec="lz4")
     runs = materialize(_runs(scan).join(shared, ["h", "context"]), "repeat-runs", codec="lz4")
     # a context is read from one of its places
@@ -453,11 +453,17 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     return whole.unionByName(some.select("r1", "r2", "place", "spans"))
 
 
+def _identity() -> dict:
+    """The columns that identify a row: hashes of doc_id and text, and of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return {"__r1": F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text), "__r2": F.xxhash64(F.lit(2), text)}
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(r1, r2, text) of every row; a null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns(
-        {"text": text, "r1": F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text), "r2": F.xxhash64(F.lit(2), text)}
-    )
+    named = {k[2:]: v for k, v in _identity().items()}
+    return docs.select(*[v.alias(k) for k, v in named.items()], text.alias("text"))
 
 
 def covered(place: np.ndarray, spans: list, length: int) -> np.ndarray:
@@ -483,14 +489,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     ``length`` bytes that starts at another place too, in any row, is removed;
     strings are judged on the input.  Cutting may part a character's bytes:
     kept_sha256 is of the bytes, the kept text drops such remains.  Columns of
-    those four names are replaced, all others are kept; a null text stays null.
+    those four names are replaced, all others kept, whatever their names; a null text stays null.
     Without ``keep_text`` the text is left out.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*added)
     marks = find_repeats(docs, length, **options)
     marks = marks.groupBy("r1", "r2").agg(F.collect_set(F.struct("place", "spans")).alias("marks"))
-    rows = _keyed(docs.withColumn("was_null", F.col("text").isNull())).join(marks, ["r1", "r2"], "left").drop("r1", "r2")
+    marks = marks.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("marks").alias("__marks"))
+    rows = docs.withColumns(_identity()).join(marks, ["__r1", "__r2"], "left").drop("__r1", "__r2")
     names = [c for c in docs.columns if keep_text or c != "text"]
     schema = docs.select(*names).schema
     for c in added:
@@ -500,14 +507,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
         for batch in batches:
             cols = dict(zip(batch.schema.names, batch.columns))
             out, stats = [], []
-            for text, null, mark in zip(cols["text"], cols["was_null"].to_pylist(), cols["marks"]):
+            for text, mark in zip(cols["text"], cols["__marks"]):
+                text = text.as_py()
+                raw = (text or "").encode()
                 if not mark.is_valid:
-                    raw = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b""
                     stats.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                     if keep_text:
-                        out.append(None if null else text.as_py())
+                        out.append(text)
                     continue
-                raw = text.as_py().encode()
                 x = covered(mark.values.field("place").to_numpy(), mark.values.field("spans").to_pylist(), length)
                 kept = b"".join(raw[a:b] for a, b in zip([0, *x[:, 1]], [*x[:, 0], len(raw)]))
                 stats.append((len(raw), len(raw) - len(kept), len(x), hashlib.sha256(kept).hexdigest()))
