@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.numeric import clamp, col
 
 
+PAIRS = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
+
+
 def pointer(document, path: str) -> Column:
     """The text at a slash-separated pointer; null if there is none."""
     keys = [p.replace("~1", "/").replace("~0", "~") for p in path.split("/")[1:]]
@@ -39,7 +44,7 @@ def _scalars(value, key: str = ""):
         yield key, json.dumps(value)
 
 
-@F.pandas_udf("array<struct<key:string,value:string>>")
+@F.pandas_udf(PAIRS)
 def flatten(documents: pd.Series) -> pd.Series:
     """(last key, text) of every text and number at any depth; booleans and nulls are dropped."""
     return pd.Series([[{"key": k, "value": v} for k, v in _scalars(_load(d))] for d in documents])
@@ -52,7 +57,7 @@ def merge_values(a, b):
     return b
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def deep_merge(base: pd.Series, over: pd.Series) -> pd.Series:
     """The second document laid over the first, keys in order; a document that cannot be read changes nothing."""
     out = []
@@ -76,7 +81,7 @@ def redactor(replacements: list[tuple[str, str]]):
             return [walk(x) for x in v]
         return pattern.sub(lambda m: by[m[0]], v) if isinstance(v, str) and pattern else v
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def redact(documents: pd.Series) -> pd.Series:
         loaded = [_load(d) for d in documents]
         return pd.Series(
@@ -103,7 +108,7 @@ def finder(names: set[str]):
                     return found
         return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def find(documents: pd.Series) -> pd.Series:
         return pd.Series([search(_load(d)) for d in documents], dtype=object)
 
@@ -129,6 +134,15 @@ def issue_list(document, known: list[str]) -> Column:
     return F.concat(kept, F.array_except(read("warnings", "array<string>"), codes))
 
 
+def merged_maps(first: Column, *more: Column) -> Column:
+    """Union of maps; of equal keys the last one's value counts."""
+
+    def merge(a: Column, b: Column) -> Column:
+        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+    return reduce(merge, more, first)
+
+
 def phase_durations(document) -> Column:
     """Milliseconds by phase from four spellings of an object, or an array of phases; later spellings win.
 
@@ -150,6 +164,5 @@ def phase_durations(document) -> Column:
             keyed, lambda _, v: F.coalesce(v.try_cast("double"), F.get_json_object(v, "$.durationMs").try_cast("double"))
         )
         for found in (listed, keyed):
-            found = F.map_filter(found, lambda _, v: v.isNotNull())
-            out = F.map_concat(F.map_filter(out, lambda k, _, f=found: ~F.map_contains_key(f, k)), found)
+            out = merged_maps(out, F.map_filter(found, lambda _, v: v.isNotNull()))
     return out

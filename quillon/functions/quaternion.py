@@ -43,6 +43,24 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def chain(values, *steps) -> Column:
+    """An array: ``steps`` applied one after the other to values that are computed once.
+
+    Expressions are trees, so a formula over a formula repeats the inner one
+    at each use, and the optimizer joins columns that only wrap it.  Here each
+    step reads its input by name, and the size stays in proportion.
+    """
+    size, out = len(values), F.array(*values)
+    for step in steps:
+
+        def taken(n: int, f):
+            return lambda v: F.array(*f(of(v, n)))
+
+        out = F.get(F.transform(F.array(out), taken(size, step)), F.lit(0))
+        size = len(step(of(F.lit(None).cast("array<double>"), size)))
+    return out
+
+
 def all_finite(a) -> Column:
     return reduce(lambda s, t: s & t, [is_finite(x) for x in a])
 
@@ -97,13 +115,13 @@ def slerp(a: Quat, b: Quat, t: Column) -> Quat:
     ka = F.when(curved, F.try_divide(F.sin((1 - t) * theta), s)).otherwise(1 - t)
     kb = F.when(curved, F.try_divide(F.sin(t * theta), s)).otherwise(t) * sign
     ok = is_finite(t) & (t >= 0) & (t <= 1)
-    return tuple(F.when(ok, x) for x in normalize(tuple(ka * x + kb * y for x, y in zip(a, b))))
+    return tuple(F.when(ok, x) for x in of(chain(tuple(ka * x + kb * y for x, y in zip(a, b)), normalize)))
 
 
 def nlerp(a, b, t: Column):
     """Linear interpolation, then unit length; null if t is not in 0 .. 1 or the result has no direction."""
     ok = is_finite(t) & (t >= 0) & (t <= 1)
-    return tuple(F.when(ok, x) for x in normalize(tuple((1 - t) * x + t * y for x, y in zip(a, b)), EPS_RETRIEVAL))
+    return tuple(F.when(ok, x) for x in of(chain(tuple((1 - t) * x + t * y for x, y in zip(a, b)), lambda v: normalize(v, EPS_RETRIEVAL)), len(a)))
 
 
 def cross(a: Vec, b: Vec) -> Vec:
@@ -129,12 +147,19 @@ def shortest_arc(a: Vec, b: Vec) -> Quat:
 
     Opposite directions have no single one: null.  Equal ones give the identity.
     """
-    ua, ub = normalize(a, EPS_RETRIEVAL), normalize(b, EPS_RETRIEVAL)
-    d = dot(ua, ub)
-    raw = normalize((1 + d, *cross(ua, ub)), EPS_RETRIEVAL)
-    same = d > 1 - 1e-12
-    ident = lit(1, 0, 0, 0)
-    return tuple(F.when(d < -1 + 1e-8, F.lit(None)).when(same, i).otherwise(x) for i, x in zip(ident, raw))
+
+    def units(v):
+        return (*normalize(v[:3], EPS_RETRIEVAL), *normalize(v[3:], EPS_RETRIEVAL))
+
+    def arc(u):
+        return (dot(u[:3], u[3:]), *cross(u[:3], u[3:]))
+
+    def turn(u):
+        raw, same = normalize((1 + u[0], *u[1:]), EPS_RETRIEVAL), u[0] > 1 - 1e-12
+        ident = lit(1, 0, 0, 0)
+        return tuple(F.when(u[0] < -1 + 1e-8, F.lit(None)).when(same, i).otherwise(x) for i, x in zip(ident, raw))
+
+    return of(chain((*a, *b), units, arc, turn))
 
 
 def axis_angle(q: Quat) -> tuple[Vec, Column]:

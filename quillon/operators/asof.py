@@ -88,14 +88,15 @@ def attitude_at(samples: DataFrame, probes: DataFrame, by: list[str], ts: str =
     needs samples on both sides, no further apart than ``max_gap_ms``.
     Samples without a valid quaternion are left out first.
     """
-    unit = Q.normalize(Q.of(q))
-    valid = samples.withColumn(q, F.when(unit[0].isNotNull(), Q.pack(unit))).filter(F.col(q).isNotNull())
+    unit = Q.chain(Q.of(q), Q.normalize)
+    valid = samples.withColumn(q, unit).filter(F.get(F.col(q), F.lit(0)).isNotNull())
     out = bracket(valid, probes, by, ts, order, [q])
     exact, gap, t = _fraction(ts)
-    mixed = Q.slerp(Q.of(F.col(f"before.{q}")), Q.of(F.col(f"after.{q}")), t)
+    sides = (*Q.of(F.col(f"before.{q}")), *Q.of(F.col(f"after.{q}")), t)
     near = F.lit(True) if max_gap_ms is None else gap <= max_gap_ms
-    inside = F.when(near & mixed[0].isNotNull(), Q.pack(mixed))
-    return out.withColumn(q, F.when(exact, F.col(f"before.{q}")).otherwise(inside)).drop("before", "after")
+    out = out.withColumn("_mixed", Q.chain(sides, lambda v: Q.slerp(v[:4], v[4:8], v[8])))
+    inside = F.when(near & F.get("_mixed", F.lit(0)).isNotNull(), F.col("_mixed"))
+    return out.withColumn(q, F.when(exact, F.col(f"before.{q}")).otherwise(inside)).drop("before", "after", "_mixed")
 
 
 def direction_at(samples: DataFrame, probes: DataFrame, by: list[str], ts: str = "ts", order: str = "pos",
@@ -103,9 +104,10 @@ def direction_at(samples: DataFrame, probes: DataFrame, by: list[str], ts: str =
     """As :func:`attitude_at` for directions, interpolated linearly and made unit length."""
     out = bracket(samples.filter(F.col(v).isNotNull()), probes, by, ts, order, [v])
     exact, gap, t = _fraction(ts)
-    mixed = Q.nlerp(Q.of(F.col(f"before.{v}"), 3), Q.of(F.col(f"after.{v}"), 3), t)
-    inside = F.when((gap <= max_gap_ms) & mixed[0].isNotNull(), Q.pack(mixed))
-    return out.withColumn(v, F.when(exact, F.col(f"before.{v}")).otherwise(inside)).drop("before", "after")
+    sides = (*Q.of(F.col(f"before.{v}"), 3), *Q.of(F.col(f"after.{v}"), 3), t)
+    out = out.withColumn("_mixed", Q.chain(sides, lambda u: Q.nlerp(u[:3], u[3:6], u[6])))
+    inside = F.when((gap <= max_gap_ms) & F.get("_mixed", F.lit(0)).isNotNull(), F.col("_mixed"))
+    return out.withColumn(v, F.when(exact, F.col(f"before.{v}")).otherwise(inside)).drop("before", "after", "_mixed")
 
 
 def value_at(samples: DataFrame, probes: DataFrame, by: list[str], ts: str = "ts", order: str = "pos",
@@ -157,5 +159,5 @@ def orientation_priors(frames: DataFrame, samples: DataFrame, by: list[str], off
     """Frames with the calibrated attitude at their time plus the offset; frames without one are dropped."""
     probes = frames.withColumn("frame_ts", F.col("ts")).withColumn("ts", F.col("ts") + offset_ms)
     out = attitude_at(samples, probes, by, max_gap_ms=max_gap_ms).filter(F.col("q").isNotNull())
-    turned = Q.normalize(Q.calibrated(Q.lit(*mount), Q.of("q"), inverted))
-    return out.withColumn("q", Q.pack(turned)).withColumn("ts", F.col("frame_ts")).drop("frame_ts")
+    turned = Q.chain(Q.of("q"), lambda q: Q.calibrated(Q.lit(*mount), q, inverted), Q.normalize)
+    return out.withColumn("q", turned).withColumn("ts", F.col("frame_ts")).drop("frame_ts")

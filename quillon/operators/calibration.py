@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import quaternion as Q
 from quillon.operators import asof, motion
 from quillon.operators.statistics import pearson
+from quillon.storage import materialize
 
 #: Fixed limit on the grid of offsets.
 MAX_OFFSETS = 20_001
@@ -108,12 +109,17 @@ def relative_pairs(visual: DataFrame, telemetry: DataFrame, found: DataFrame, by
     at = asof.attitude_at(tele, rows.select(*by, "ts", "i", "stride", "vq"), by)
     other = at.select(*by, (F.col("i") - F.col("stride")).alias("i"), F.col("vq").alias("vq2"), F.col("q").alias("q2"))
     both = at.join(other, [*by, "i"]).filter("q is not null and q2 is not null")
-    unit = {c: Q.normalize(Q.of(c)) for c in ("vq", "vq2", "q", "q2")}
-    # the first sample's rotation after the inverse of the second's
-    a = Q.relative(unit["vq"], unit["vq2"])
-    first, second = (Q.conjugate(unit[c]) if inverted else unit[c] for c in ("q", "q2"))
-    b = Q.relative(first, second)
-    out = both.select(*by, "i", Q.pack(a).alias("a"), Q.pack(b).alias("b"))
+
+    def turned(first: str, second: str, inverted: bool):
+        """The first sample's rotation after the inverse of the second's."""
+        flip = Q.conjugate if inverted else (lambda q: q)
+        return Q.chain(
+            (*Q.of(first), *Q.of(second)),
+            lambda v: (*flip(Q.normalize(v[:4])), *flip(Q.normalize(v[4:]))),
+            lambda u: Q.relative(u[:4], u[4:]),
+        )
+
+    out = both.select(*by, "i", turned("vq", "vq2", False).alias("a"), turned("q", "q2", inverted).alias("b"))
     return out.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("i"))).filter(
         F.col("_r") <= config.max_pairs
     ).drop("_r")
@@ -133,10 +139,13 @@ def normal_matrix(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def axis_diversity(pairs: DataFrame, by: list[str]) -> DataFrame:
     """The largest cross product of two turning axes in a group of pairs (which is bounded), and both excitations."""
-    axis, angle = Q.axis_angle(Q.normalize(Q.of("a")))
-    _, other = Q.axis_angle(Q.normalize(Q.of("b")))
-    turn = F.degrees(angle)
-    rows = pairs.select(*by, "i", F.when(axis[0].isNotNull(), Q.pack(axis)).alias("axis"), turn.alias("ta"), F.degrees(other).alias("tb"))
+    def axis(q):
+        direction, angle = Q.axis_angle(q)
+        return (*direction, F.degrees(angle))
+
+    rows = pairs.select(*by, "i", Q.chain(Q.of("a"), Q.normalize, axis).alias("_a"), Q.chain(Q.of("b"), Q.normalize, axis).alias("_b"))
+    found = F.when(F.get("_a", F.lit(0)).isNotNull(), F.slice("_a", 1, 3))
+    rows = rows.select(*by, "i", found.alias("axis"), F.get("_a", F.lit(3)).alias("ta"), F.get("_b", F.lit(3)).alias("tb"))
     l, r = rows.filter("axis is not null").alias("l"), rows.filter("axis is not null").alias("r")
     cond = F.col("l.i") < F.col("r.i")
     for c in by:
@@ -175,9 +184,13 @@ def hand_eye(pairs: DataFrame, by: list[str], config: Config = Config()) -> Data
     """The fixed rotation x with a x = x b: x, residuals and gates of each group of pairs."""
     solved = smallest_eigenvector(normal_matrix(pairs, by), by).select(*by, "pairs", "x")
     at = pairs.join(solved.select(*by, "x"), by)
-    x = Q.of("x")
-    residual = Q.angle_degrees(Q.multiply(Q.normalize(Q.of("a")), x), Q.multiply(x, Q.normalize(Q.of("b"))))
-    sums = at.withColumn("_e", residual).groupBy(*by).agg(
+    residual = Q.chain(
+        (*Q.of("a"), *Q.of("b"), *Q.of("x")),
+        lambda v: (*Q.normalize(v[:4]), *Q.normalize(v[4:8]), *v[8:]),
+        lambda u: (*Q.multiply(u[:4], u[8:]), *Q.multiply(u[8:], u[4:8])),
+        lambda w: (Q.angle_degrees(w[:4], w[4:]),),
+    )
+    sums = at.withColumn("_e", F.get(residual, F.lit(0))).groupBy(*by).agg(
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("residual_deg"), F.max("_e").alias("max_residual_deg")
     )
     out = solved.join(sums, by).join(axis_diversity(pairs, by), by, "left")
@@ -197,15 +210,14 @@ def calibrate(visual: DataFrame, telemetry: DataFrame, by: list[str], config: Co
     ``visual`` and ``telemetry`` are (by, ts, pos, q).  Equal residuals choose
     the attitudes as they are.
     """
-    found = best_offset(visual, telemetry, by, config)
+    # a row for each source, read by both tries; and the tries' pairs, which are bounded and read by three aggregates
+    found = materialize(best_offset(visual, telemetry, by, config), "offset")
     ok = found.filter("valid")
     tries = [
-        hand_eye(relative_pairs(visual, telemetry, ok, by, config, inverted), by, config).withColumn(
-            "convention", F.lit("inverted" if inverted else "as-provided")
-        )
-        for inverted in (False, True)
+        relative_pairs(visual, telemetry, ok, by, config, inverted).withColumn("convention", F.lit(name))
+        for inverted, name in ((False, "as-provided"), (True, "inverted"))
     ]
-    both = tries[0].unionByName(tries[1])
+    both = hand_eye(materialize(tries[0].unionByName(tries[1]), "pairs"), [*by, "convention"], config)
     order = Window.partitionBy(*by).orderBy(F.col("problem").isNotNull(), F.col("residual_deg"), F.col("convention"))
     best = both.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
     best = best.withColumnRenamed("problem", "rotation_problem").withColumnRenamed("pairs", "rotation_pairs")

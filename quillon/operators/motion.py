@@ -111,7 +111,7 @@ def _by_source(samples: DataFrame, by: list[str], fold, schema: str) -> DataFram
     """A fold over each source's rows; a source is held by one task, as its state runs through all of it."""
     names = [f"{c} {dict(samples.dtypes)[c]}" for c in by]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = fold(pdf)
         for c, k in zip(by, key):
             out.insert(0, c, k)

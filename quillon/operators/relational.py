@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -173,12 +171,3 @@ def unique_ignoring_case(rows: DataFrame, by: list[str], value: str, order: str)
     """The first of each value, whatever its case, in order."""
     w = Window.partitionBy(*by, F.lower(F.trim(value))).orderBy(order)
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-
-
-def merged_maps(first: Column, *more: Column) -> Column:
-    """Union of maps; of equal keys the last one's value counts."""
-
-    def merge(a: Column, b: Column) -> Column:
-        return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
-
-    return reduce(merge, more, first)

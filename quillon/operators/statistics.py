@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import quaternion as Q
 from quillon.functions.numeric import INF, clamp, col, coverage_ratio, finite
+from quillon.storage import materialize
 
 
 def finite_median(x) -> Column:
@@ -76,11 +77,15 @@ def gravity_alignment(images: DataFrame, priors: DataFrame, by: list[str]) -> Da
     that fails a gate has that gate's name in ``problem`` and no rotation.
     """
     seen = images.join(priors, [*by, "name"])
-    world = Q.normalize(
-        Q.rotate(Q.conjugate(Q.normalize(Q.of("q"), Q.EPS_RETRIEVAL)), Q.normalize(Q.of("gravity", 3), Q.EPS_RETRIEVAL)),
-        Q.EPS_RETRIEVAL,
+    world = Q.chain(
+        (*Q.of("q"), *Q.of("gravity", 3)),
+        lambda v: (*Q.normalize(v[:4], Q.EPS_RETRIEVAL), *Q.normalize(v[4:], Q.EPS_RETRIEVAL)),
+        lambda u: Q.rotate(Q.conjugate(u[:4]), u[4:]),
+        lambda w: Q.normalize(w, Q.EPS_RETRIEVAL),
     )
-    obs = seen.select(*by, *[c.alias(n) for c, n in zip(world, "xyz")]).filter("x is not null")
+    obs = seen.select(*by, world.alias("_w"))
+    obs = obs.select(*by, *[c.alias(n) for c, n in zip(Q.of("_w", 3), "xyz")]).filter("x is not null")
+    obs = materialize(obs, "gravity")  # four aggregates read it
     count = images.groupBy(*by).agg(F.countDistinct("name").alias("images"))
     seed = obs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("matched"), *[F.median(c).alias(f"m{c}") for c in "xyz"]
@@ -89,7 +94,7 @@ def gravity_alignment(images: DataFrame, priors: DataFrame, by: list[str]) -> Da
     seed = seed.select(*by, "matched", *[c.alias(f"s{n}") for c, n in zip(seeds, "xyz")])
     at = obs.join(seed, by)
     v, s = (F.col("x"), F.col("y"), F.col("z")), (F.col("sx"), F.col("sy"), F.col("sz"))
-    at = at.withColumn("residual", Q.vector_angle(v, s))
+    at = materialize(at.withColumn("residual", Q.vector_angle(v, s)), "gravity-residuals")
     middle = at.groupBy(*by).agg(F.median("residual").alias("median_residual_deg"))
     at = at.join(middle, by)
     spread = at.groupBy(*by).agg(F.median(F.abs(F.col("residual") - F.col("median_residual_deg"))).alias("mad"))
@@ -98,8 +103,11 @@ def gravity_alignment(images: DataFrame, priors: DataFrame, by: list[str]) -> Da
     held = at.groupBy(*by).agg(F.count(F.lit(1)).alias("inliers"), *[F.sum(c).alias(f"t{c}") for c in "xyz"])
     out = count.join(seed, by, "left").join(middle, by, "left").join(spread, by, "left").join(held, by, "left")
     out = out.fillna(0, ["matched", "inliers"]).withColumn("inlier_threshold_deg", limit)
-    before = Q.normalize((F.col("tx"), F.col("ty"), F.col("tz")), 1e-12)
-    turn = Q.shortest_arc(before, Q.lit(*TARGET))
+    sums = (F.col("tx"), F.col("ty"), F.col("tz"))
+    out = out.withColumn("_before", Q.chain(sums, lambda v: Q.normalize(v, 1e-12)))
+    before = Q.of("_before", 3)
+    out = out.withColumn("_turn", Q.pack(Q.shortest_arc(before, Q.lit(*TARGET))))
+    turn = Q.of("_turn")
     coverage, ratio = coverage_ratio("matched", "images"), coverage_ratio("inliers", "matched")
     problem = (
         F.when(F.col("matched") < MIN_MATCHED, "too few observations")
