@@ -31,7 +31,9 @@ def coverage_ratio(covered, total) -> Column:
 
 
 def clamp(x, low, high) -> Column:
-    return F.least(F.greatest(col(x), F.lit(low)), F.lit(high))
+    """The value held to its range; null stays null (least and greatest would pass over it)."""
+    x = col(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def close_to(x, expected) -> Column:

@@ -100,8 +100,9 @@ def relative(a: Quat, b: Quat) -> Quat:
 def angle_degrees(a: Quat, b: Quat) -> Column:
     """Angle of the rotation between a and b; infinite (not null) if either is invalid."""
     ua, ub = normalize(a), normalize(b)
-    cosine = F.least(F.abs(dot(ua, ub)), F.lit(1.0))
-    return F.coalesce(F.degrees(2 * F.acos(cosine)), F.lit(INF))
+    d = F.abs(dot(ua, ub))
+    # least() passes over nulls, so an invalid side is asked for
+    return F.when(d.isNotNull(), F.degrees(2 * F.acos(F.least(d, F.lit(1.0))))).otherwise(F.lit(INF))
 
 
 def slerp(a: Quat, b: Quat, t: Column) -> Quat:
@@ -139,7 +140,8 @@ def rotate(q: Quat, v: Vec) -> Vec:
 def vector_angle(a: Vec, b: Vec) -> Column:
     """Degrees between two directions, by a clamped cosine; null if either has none."""
     ua, ub = normalize(a, EPS_RETRIEVAL), normalize(b, EPS_RETRIEVAL)
-    return F.degrees(F.acos(F.least(F.greatest(dot(ua, ub), F.lit(-1.0)), F.lit(1.0))))
+    d = dot(ua, ub)
+    return F.when(d.isNotNull(), F.degrees(F.acos(F.least(F.greatest(d, F.lit(-1.0)), F.lit(1.0)))))
 
 
 def shortest_arc(a: Vec, b: Vec) -> Quat:

@@ -26,7 +26,7 @@ def pair_lenses(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 def rate_interval(sequence, candidate_fps: float, base_fps: float) -> Column:
     """The interval of a 1-based sequence number: floor(((max(seq - 1, 0)) / candidate) * base)."""
     seq = F.col(sequence) if isinstance(sequence, str) else sequence
-    return F.floor(F.greatest(seq - 1, F.lit(0)).cast("double") / candidate_fps * base_fps)
+    return F.floor(F.when(seq > 1, seq - 1).when(seq <= 1, F.lit(0)).cast("double") / candidate_fps * base_fps)
 
 
 def best_per_interval(pairs: DataFrame, by: list[str], score: str, order: str) -> DataFrame:

@@ -571,7 +571,7 @@ def terminal_suppression(t):
     r as (select *, sum(nw) over (partition by conv_id order by turn) as run from n),
     g as (select conv_id, run, first(role order by turn) as phase, min(turn)::double as started, count(*) as events from r group by all),
     x as (select *, lead(started) over (partition by conv_id order by run) as finished, row_number() over (partition by conv_id order by run desc) as b from g)
-    select conv_id, cast(run as bigint) as run, phase, events, greatest(finished - started, 0.0) as duration from x where b <= 100""",
+    select conv_id, cast(run as bigint) as run, phase, events, case when finished >= started then finished - started when finished < started then 0.0 end as duration from x where b <= 100""",
 )
 def progress_fold(t):
     rows = t.conversations.withColumn("t", F.col("turn").cast("double"))

@@ -40,7 +40,8 @@ def fold_progress(events: DataFrame, by: list[str], ts: str, phase: str, order:
     runs = Window.partitionBy(*by).orderBy("_run")
     back = Window.partitionBy(*by).orderBy(F.col("_run").desc())
     each = each.withColumn("finished", F.lead("started").over(runs))
-    each = each.withColumn("duration", F.greatest(F.col("finished") - F.col("started"), F.lit(0.0)))
+    took = F.col("finished") - F.col("started")
+    each = each.withColumn("duration", F.when(took >= 0, took).when(took < 0, F.lit(0.0)))
     each = each.withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= MOST_LOGS)
     return each.drop("_back").withColumnRenamed("_run", "run")
 
@@ -136,7 +137,8 @@ def pipeline_state(events: DataFrame, job: str, order: str, stage: str, status:
 def recover(checkpoints: DataFrame, now_ms: float) -> DataFrame:
     """After a restart: running rows become cancelled, with the time they took so far; others stay."""
     running = F.col("status") == "running"
-    took = F.greatest(F.lit(now_ms) - F.col("started_ms"), F.lit(0.0))
+    took = F.lit(now_ms) - F.col("started_ms")
+    took = F.when(took >= 0, took).when(took < 0, F.lit(0.0))
     return checkpoints.withColumns(
         {
             "status": F.when(running, "cancelled").otherwise(F.col("status")),
