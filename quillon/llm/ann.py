@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import is_valid_vector, materialize, runs_of
+from quillon.llm.common import is_valid_vector, materialize, runs_of, steady_memory
 
 BLOCK = 4096
 QUERY_BLOCK = 2048
@@ -99,6 +99,7 @@ def build_index(vectors: DataFrame, dim: int, seed: int = 5, block: int = BLOCK)
     """Blocks of codes, correction scalars and vectors of all rows of (vec_id, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         from pyspark import TaskContext
 
         rot, n = rotation(dim, seed), TaskContext.get().partitionId() << 32
@@ -123,6 +124,7 @@ def query_blocks(queries: DataFrame, dim: int, n_blocks: int) -> DataFrame:
     """Queries (vec_id, embedding) dealt by hash into blocks 0 .. n_blocks-1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for (qb,), t in runs_of(batches, 1):
             ids = t.column(1).to_numpy()
             x = t.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -172,6 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = EP
     pairs = pairs.join(copies.hint("merge"), ["qb", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         rot, key, best = rotation(dim, seed), None, None
         for batch in batches:
             for i in range(batch.num_rows):

@@ -13,6 +13,29 @@ from quillon.storage import materialize
 __all__ = ["connected_components", "materialize"]
 
 
+_STEADY: list[bool] = []
+
+
+def steady_memory() -> None:
+    """Makes this worker give freed arrays back to the machine at once.
+
+    Workers are kept for later tasks; without this, each holds on to the most
+    it ever used, and several of them share an executor's memory.
+    """
+    if _STEADY:
+        return
+    _STEADY.append(True)
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        import ctypes
+
+        libc = ctypes.CDLL(None)
+        for option, value in ((-3, 2 << 20), (-1, 8 << 20), (-8, 2)):  # mmap and trim thresholds, arenas
+            libc.mallopt(option, value)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def is_valid_vector(v: Column) -> Column:
     """Not null, not empty, not all zero, no null and no non-finite component."""
     inf = F.lit(float("inf"))
@@ -68,7 +91,7 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def text_chunks(column: pa.Array, limit: int = 2 << 20):
+def text_chunks(column: pa.Array, limit: int = 1 << 20):
     """Yields (first, last, bytes, offsets) of runs of whole texts of about ``limit`` bytes.
 
     ``offsets`` has last - first + 1 entries into ``bytes``; a null is an empty

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, steady_memory
 
 #: A text is template if this share of a host's different pages have it at one node, and these many at least.
 TEMPLATE_SHARE = 0.8
@@ -265,6 +265,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     """page_id, url, host, tree and text blocks of every page; parsed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         kind = pa.list_(pa.struct({"node": pa.int32(), "article": pa.bool_(), "text": pa.string()}))
         for batch in batches:
             for s in range(0, batch.num_rows, 500):

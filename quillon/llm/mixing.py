@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, words_of
+from quillon.llm.common import materialize, steady_memory, words_of
 
 BLOCK = 64
 SHARD_BLOCKS = 4096
@@ -260,6 +260,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             rows, texts = [], []
             for i in range(batch.num_rows):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, is_valid_vector, materialize, runs_of, union_roots
+from quillon.llm.common import connected_components, is_valid_vector, materialize, runs_of, steady_memory, union_roots
 
 LINES = 48
 WINDOW = 2.2  # half-width of a window, in deviations of a wanted pair's distance on a line
@@ -138,6 +138,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
     plans = {d: plan(n, threshold, d, seed) for d, n in sizes.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             dims, rep, copies = (batch.column(c).to_numpy() for c in range(3))
             for d in np.unique(dims):
@@ -173,6 +174,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
     key = ["dim", "tab", "cell", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for (d, t, _, lo, hi), rows in runs_of(batches, 5):
             own, rep, copies = (rows.column(c).to_numpy() for c in (5, 6, 7))
             x = np.frombuffer(b"".join(rows.column(8).to_pylist()), kind).reshape(len(rep), d).astype(float)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import steady_memory
+
 CAPACITY = 2048
 #: Pieces that a task packs at a time; only their numbers are held, not ids.
 POOL = 200_000
@@ -118,6 +120,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         from pyspark import TaskContext
 
         encode = Encoder(ranks_path, pattern)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, mix64, prefix_hash, range_hash, text_chunks, words_of
+from quillon.llm.common import materialize, mix64, prefix_hash, range_hash, steady_memory, text_chunks, words_of
 
 #: Rows of each kind (positive, unlabelled) that the fit may see.
 MAX_ROWS = 12_000
@@ -98,6 +98,7 @@ def featurise(docs: DataFrame) -> DataFrame:
     """doc_id and features (array<double>) of every row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(1)):
                 x = text_features(data, offsets)
@@ -197,6 +198,7 @@ def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> M
 
 def score_features(features: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
@@ -232,6 +234,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> D
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             ok = np.zeros(batch.num_rows, dtype=bool)
             for i, j, data, offsets in text_chunks(batch.column(at)):

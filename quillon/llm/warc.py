@@ -14,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, steady_memory
 
 #: Bytes of records, before compression, after which an archive is closed.
 ARCHIVE_BYTES = 8 << 20
+#: Shared payloads up to which their table goes to all tasks: 72 bytes each.
+BROADCAST_PAYLOADS = 200_000
 GZIP = 31  # zlib's window bits for a gzip header
 ARCHIVE = "archive string, content binary"
 NORMALISED = (
@@ -37,7 +39,9 @@ def assign_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     smallest page_id is the response.  Rows that repeat page_id and payload
     share their type; rows without a page_id are revisits of those with one.
     The table of shared payloads has a row for each payload seen twice, made by
-    partial sums, and the html is dealt by page_id, which no hot payload skews.
+    partial sums.  While it is small (counted first) all tasks get it, so the
+    html is not dealt at all; beyond that, rows meet it by digest, and the
+    engine splits a digest that holds many of them.
     """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -53,6 +57,8 @@ def assign_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
         .filter("n > 1")
         .select(F.col("payload_digest").alias("d"), "first_id")
     )
+    if shared.count() <= BROADCAST_PAYLOADS:
+        shared = F.broadcast(shared)
     out = base.join(shared, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= min_bytes), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return out.select(
@@ -91,6 +97,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level
     """Archives of one gzip stream each, written as the rows come: at most one archive is in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
@@ -155,6 +162,7 @@ def normalise_archives(archives: DataFrame, level: int = 1) -> DataFrame:
     """Every record as a gzip member of its own, and the sidecar index of their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out, index, at = [], [], 0
@@ -216,6 +224,7 @@ def read_archives(normalised: DataFrame, payloads: bool = True) -> DataFrame:
     fields = [x.split()[0] for x in RECORDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         schema = pa.schema(
             {k: pa.binary() if k == "payload" else pa.int64() if k in ("page_id", "payload_bytes", "refers_to", "offset", "length") else pa.string() for k in fields}
         )
