@@ -2,11 +2,13 @@
 
 Unrelated texts all lie at distance 1 from each other, so pivots alone cannot
 part a corpus.  A first, exact step parts it into regions: within a size level
-the shingles are dealt into one more class than two linked sets can differ in,
-so linked sets agree in a whole class, and sets that agree in a class share a
-region.  (A class that is empty in a set says nothing; such sets, and all small
-ones, are also keyed by the first shingles, in hash order, of which linked sets
-share one.)  No linked pair is lost, and equal sets are one set throughout.
+the shingles are dealt into more classes than two linked sets can differ in, by
+one and a number to spare, so linked sets agree in that many whole classes, and
+sets that agree in a class that is not empty share a region.  Shingles that many
+texts share stay out of the classes.  (A set with more empty classes than there
+are to spare is also keyed by its first shingles, in hash order, of which
+linked sets share one.)  No linked pair is lost, and equal
+sets are one set throughout.
 
 Within a region pivots make Voronoi cells by Jaccard distance.  By the triangle
 inequality a set can link into the cell of pivot q only if its distance to q is
@@ -35,6 +37,7 @@ from quillon.llm.common import (
     prefix_hash,
     range_hash,
     runs_of,
+    steady_memory,
     text_chunks,
     union_roots,
     words_of,
@@ -42,15 +45,23 @@ from quillon.llm.common import (
 
 SHINGLE = 4
 PERCENT = 85
-#: Sets of levels up to this size are keyed by their first shingles only.
-SMALL = 64
 #: Shingles that a task may hold of one region, or of a pair of its shares.
-REGION_SHINGLES = 4_000_000
+REGION_SHINGLES = 1_500_000
+#: Shingles are common that occur in more texts than this, by counts of those that a buffer of
+#: ``COMMON_BUFFER`` shingles holds ``COMMON_LOCAL`` times or more; all tasks get ``MAX_COMMON`` of them at most.
+COMMON_LEAST = 40
+COMMON_LOCAL = 4
+COMMON_BUFFER = 4_000_000
+MAX_COMMON = 200_000
+#: Keys that a task packs at a time.
+FLUSH_KEYS = 1_000_000
 LEAF = 256
+#: Sets of regions up to which their ids go to all tasks (48 bytes each), so texts stay where they are; above, texts are dealt by id.
+BROADCAST_CANDIDATES = 250_000
 PIVOTS = 8
 #: Shingles counted by matrix products, and pairs counted at a time, in a leaf.
 HEAVY = 2048
-BLOCK_PAIRS = 4_000_000
+BLOCK_PAIRS = 1_000_000
 
 
 # ------------------------------------------------------------------ shingles
@@ -97,33 +108,43 @@ def size_levels(percent: int) -> np.ndarray:
     """Lower bounds of the size levels: linked sets lie in one level or in two neighbouring ones."""
     out = [1, 2]
     while out[-1] < 1 << 42:
-        out.append(max(-(-out[-1] * 8 // 5), out[-1] * 100 // percent + 2))
+        out.append(max(out[-1] + 1, -(-out[-1] * 5 // 4), -(-out[-1] * 100 // percent)))
     return np.array(out, np.int64)
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(
+    shingles: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray = np.zeros(0, np.uint64)
+) -> tuple[np.ndarray, np.ndarray]:
     """Keys, and the text each belongs to: texts that link share a key.
 
     The level of a pair is that of its larger set, so a set takes part in its
-    own level and, near that level's end, in the next.
+    own level and, near that level's end, in the next.  The sorted ``common``
+    shingles are left out of the classes: without them two sets differ no more
+    than with them, and texts that share only these do not meet.
     """
     size, low = np.diff(bounds), size_levels(percent)
     own = np.searchsorted(low, size, side="right") - 1
+    rare = np.ones(len(shingles), bool)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rare = common[at] != shingles
+    before = np.concatenate(([0], np.cumsum(rare)))[bounds]
+    kept, left = shingles[rare], np.diff(before)
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for up in (0, 1):
         here = np.flatnonzero((size > 0) & ((up == 0) | (size * 100 >= percent * low[own + 1])))
         if not len(here):
             continue
-        level, n = own[here] + up, size[here]
+        level, n = own[here] + up, left[here]
         top = low[level + 1] - 1
-        # linked sets of sizes up to top differ in one shingle less than there are classes
-        classes = np.where(top <= SMALL, 0, 2 * top * (100 - percent) // (100 + percent) + 1)
+        # linked sets of sizes up to top differ in fewer shingles than this; some classes more may be empty
+        classes = 2 * top * (100 - percent) // (100 + percent) + 1
+        spare = classes // 6 + 2 * (classes > 1)
+        classes = classes + spare
         salt = mix64(level.astype(np.uint64) + np.uint64(77))
         base, total = np.cumsum(classes) - classes, int(classes.sum())
-        by_class = classes > 0
-        x = mix64(shingles[expand(bounds[here[by_class]], n[by_class])] + np.repeat(salt[by_class], n[by_class]))
-        many = np.repeat(classes[by_class], n[by_class]).astype(np.uint64)
-        slot = np.repeat(base[by_class], n[by_class]) + (x % many).astype(np.int64)
+        x = mix64(kept[expand(before[here], n)] + np.repeat(salt, n))
+        slot = np.repeat(base, n) + (x % np.repeat(classes, n).astype(np.uint64)).astype(np.int64)
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, slot, mix64(x ^ np.uint64(0xA5A5A5A5)))
         held = np.bincount(slot, minlength=total) > 0
@@ -132,11 +153,12 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[
         key = mix64(sums + mix64(salt[of] + number))
         keys.append(key[held])
         owners.append(here[of[held]])
-        # the first shingles (sets are sorted by hash) of small sets and of sets with an empty class
-        for i in np.flatnonzero(~by_class | (np.bincount(of[~held], minlength=len(here)) > 0)):
-            a = int(bounds[here[i]])
-            length = int(n[i]) - -(-percent * int(n[i]) // 100) + 1
-            keys.append(mix64(mix64(shingles[a : a + length] ^ salt[i]) + np.uint64(3)))
+        # the first shingles, by hash and the common ones last, of sets with too many empty classes
+        for i in np.flatnonzero(np.bincount(of[~held], minlength=len(here)) > spare):
+            own_set = slice(bounds[here[i]], bounds[here[i] + 1])
+            ordered = np.concatenate((shingles[own_set][rare[own_set]], shingles[own_set][~rare[own_set]]))
+            length = len(ordered) - -(-percent * len(ordered) // 100) + 1
+            keys.append(mix64(mix64(ordered[:length] ^ salt[i]) + np.uint64(3)))
             owners.append(np.full(length, here[i]))
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -164,17 +186,38 @@ class Region:
         common = np.bincount(owner[member[codes]], minlength=len(docs))
         return 1 - common / np.maximum(self.size[docs] + self.size[pivot] - common, 1)
 
-    def pairs(self, docs: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All linked pairs of ``docs``, each once: those of side 0, or of the sides 1 and 2 between each other."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        self._join(docs, side, found)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(c) for c in zip(*found))
-
-    def _join(self, docs, side, found) -> None:
+    def join(self, side: np.ndarray, weight: np.ndarray, take=None) -> tuple[np.ndarray, np.ndarray]:
+        """Links of each set, weighted by the other's ``weight``, and the smallest set of its component.
+
+        Sets of side 0 link with each other, those of sides 1 and 2 with the
+        other side.  Pairs are counted as they are found and never held; ``take``
+        also gets each batch of them.
+        """
+        n = len(self.size)
+        self.side, self.weight, self.take = side, weight, take
+        self.links, self.root = np.zeros(n), np.arange(n)
+        self._join(np.arange(n), [])
+        return self.links, self.root
+
+    def _found(self, i: np.ndarray, j: np.ndarray, homes: list[np.ndarray]) -> None:
+        for home in homes:  # a pair is joined in the lower of its two cells
+            keep = home[i] | home[j]
+            i, j = i[keep], j[keep]
+        if not len(i):
+            return
+        if self.take is not None:
+            self.take(i, j)
+        n = len(self.size)
+        self.links += np.bincount(i, weights=self.weight[j], minlength=n) + np.bincount(j, weights=self.weight[i], minlength=n)
+        a, b = self.root[i], self.root[j]
+        part = a != b
+        if part.any():
+            ends = np.unique(a[part] * np.int64(n) + b[part])
+            self.root = union_roots(ends // n, ends % n, n)[self.root]
+
+    def _join(self, docs: np.ndarray, homes: list[np.ndarray]) -> None:
         if len(docs) <= LEAF:
-            return self._leaf(docs, side, found)
+            return self._leaf(docs, homes)
         codes, owner = self.rows(docs)
         radius = 1 - self.percent / 100
         # pivots far from each other, starting with the first set
@@ -189,27 +232,20 @@ class Region:
             chosen.append(nxt)
         table = np.array(table)
         cell = np.argmin(table, axis=0)
-        near = table.min(axis=0)
-        window = table <= near + 2 * radius + 1e-9
+        window = table <= table.min(axis=0) + 2 * radius + 1e-9
         parts = [np.flatnonzero(window[p] & (cell >= p)) for p in range(len(table))]
+        del codes, owner, table, window
         if max(map(len, parts)) > 0.8 * len(docs):
-            return self._leaf(docs, side, found)
+            return self._leaf(docs, homes)
         for p, part in enumerate(parts):
-            # a pair is joined in the lower of its two cells
-            home = cell[part] == p
-            if not home.any():
-                continue
-            inside: list = []
-            self._join(docs[part], side[part], inside)
-            at = np.full(len(self.size), -1)
-            at[docs[part]] = np.arange(len(part))
-            for i, j in inside:
-                keep = home[at[i]] | home[at[j]]
-                found.append((i[keep], j[keep]))
-
-    def _leaf(self, docs, side, found) -> None:
+            home = np.zeros(len(self.size), bool)
+            home[docs[part[cell[part] == p]]] = True
+            if home.any():
+                self._join(docs[part], [*homes, home])
+
+    def _leaf(self, docs: np.ndarray, homes: list[np.ndarray]) -> None:
         """Counts the common shingles of all pairs, a block of rows at a time."""
-        m = len(docs)
+        m, side = len(docs), self.side[docs]
         codes, owner = self.rows(docs)
         order = np.argsort(codes, kind="stable")
         codes, owner = codes[order], owner[order]
@@ -240,82 +276,136 @@ class Region:
                 part = dense[:, c : c + 512].astype(np.float32)
                 common += np.rint(part[a:b] @ part.T).astype(np.int64)
             total = self.size[docs[a:b], None] + self.size[docs][None, :]
-            i, j = np.nonzero((100 + self.percent) * common >= self.percent * total)
+            i, j = np.nonzero((common > 0) & ((100 + self.percent) * common >= self.percent * total))
             up = (i + a < j) & ((side[i + a] == 0) | (side[i + a] != side[j]))
-            if up.any():
-                found.append((docs[i[up] + a], docs[j[up]]))
+            self._found(docs[i[up] + a], docs[j[up]], homes)
             a = b
 
 
 # ------------------------------------------------------------------ operator
 
 
-def _scan(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
-    """A row per document (its set's size and digest), and rows of packed keys by range."""
+def _digests(docs: DataFrame, k: int) -> DataFrame:
+    """A row per document: its set's size and digest; and rows of shingles that some of a task's texts share, with counts."""
+    names = ["doc_id", "n", "h1", "h2", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            often = count >= COMMON_LOCAL
+            blob = np.column_stack([value[often], count[often].astype(np.uint64)]).tobytes()
+            none = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([blob], pa.binary())], names=names)
+
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch.column(1)):
+                shingles, bounds = shingle_sets(_LOWER[data], offsets, k)
+                h1, h2 = set_digests(shingles, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(h1), pa.array(h2), pa.nulls(j - i, pa.binary())],
+                    names=names,
+                )
+                held.append(shingles)
+                size += len(shingles)
+                if size >= COMMON_BUFFER:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, common binary")
+
+
+def _common(digests: DataFrame) -> np.ndarray:
+    """The shingles that many texts share, sorted; ``MAX_COMMON`` at most.
+
+    They only steer which sets meet, never what links, so any choice is right.
+    """
+    counts = digests.filter("common is not null").select("common").mapInArrow(_unpacked, "shingle bigint, count bigint")
+    sums = counts.groupBy("shingle").agg(F.sum("count").alias("count")).filter(F.col("count") > COMMON_LEAST)
+    most = sums.orderBy(F.col("count").desc(), "shingle").limit(MAX_COMMON)
+    return np.sort(np.array([r.shingle for r in most.select("shingle").collect()], np.int64).view(np.uint64))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0):
+            x = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["shingle", "count"])
+
+
+def pack_keys(key: np.ndarray, node: np.ndarray) -> bytes:
+    """Keys grouped by node (they are sorted by it): nodes, keys of each, keys."""
+    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    counts = np.diff(np.concatenate((first, [len(node)]))).astype(np.int32)
+    return np.int64(len(first)).tobytes() + node[first].tobytes() + counts.tobytes() + key.tobytes()
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, np.int64, 1)[0])
+    nodes = np.frombuffer(blob, np.int64, n, 8)
+    counts = np.frombuffer(blob, np.int32, n, 8 + 8 * n)
+    return np.frombuffer(blob, np.uint64, -1, 8 + 12 * n), np.repeat(nodes, counts)
+
+
+def _keys(docs: DataFrame, k: int, percent: int, ranges: int, common: np.ndarray) -> DataFrame:
+    """Rows of packed keys by range.  They are many bytes, so they are dealt at once and not written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         seen: set = set()
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held = 0
-        names = ["doc_id", "n", "h1", "h2", "part", "keys"]
 
         def flush() -> pa.RecordBatch:
             key, node = np.concatenate(keys), np.concatenate(nodes)
-            order = np.argsort(key, kind="stable")
-            key, node = key[order], node[order]
-            part = (key >> np.uint64(40)).astype(np.int64) * ranges >> 24
-            cut = np.searchsorted(part, np.arange(ranges + 1))
-            rows = [(int(r), cut[r], cut[r + 1]) for r in np.flatnonzero(np.diff(cut))]
-            blobs = [key[a:b].tobytes() + node[a:b].tobytes() for _, a, b in rows]
             keys.clear()
             nodes.clear()
-            none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array([r for r, _, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], names=names
-            )
+            part = ((key >> np.uint64(40)).astype(np.int64) * ranges >> 24).astype(np.int32)
+            order = np.lexsort((node, part))
+            key, node, part = key[order], node[order], part[order]
+            cut = np.searchsorted(part, np.arange(ranges + 1))
+            rows = np.flatnonzero(np.diff(cut))
+            blobs = [pack_keys(key[cut[r] : cut[r + 1]], node[cut[r] : cut[r + 1]]) for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "keys"])
 
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(1)):
+            for _, _, data, offsets in text_chunks(batch.column(1)):
                 shingles, bounds = shingle_sets(_LOWER[data], offsets, k)
                 h1, h2 = set_digests(shingles, bounds)
-                n = np.diff(bounds)
-                none = pa.nulls(j - i, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), pa.array(h1), pa.array(h2), none, pa.nulls(j - i, pa.binary())],
-                    names=names,
-                )
                 # a set that this task has met has its keys sent
-                fresh = np.zeros(j - i, bool)
+                fresh = np.zeros(len(h1), bool)
                 for d, mark in enumerate(zip(h1.tolist(), h2.tolist())):
-                    if n[d] and mark not in seen:
+                    if mark not in seen:
                         seen.add(mark)
                         fresh[d] = True
-                key, owner = signatures(shingles, bounds, percent)
+                key, owner = signatures(shingles, bounds, percent, common)
                 use = fresh[owner]
                 keys.append(key[use])
                 nodes.append(h1[owner[use]])
                 held += int(use.sum())
-                if held >= 4_000_000:
+                if held >= FLUSH_KEYS:
                     yield flush()
                     held = 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, part int, keys binary")
+    return docs.mapInArrow(run, "part int, keys binary")
 
 
-def _regions(scan: DataFrame) -> DataFrame:
+def _regions(blobs: DataFrame) -> DataFrame:
     """Links (a, b) between digests of sets that share a key: a spanning forest for each range of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for _, rows in runs_of(batches, 1):
-            key, node = [], []
-            for blob in rows.column(1):
-                x = np.frombuffer(blob.as_buffer(), np.int64)
-                key.append(x[: len(x) // 2])
-                node.append(x[len(x) // 2 :])
-            key, node = np.concatenate(key), np.concatenate(node)
+            key, node = map(np.concatenate, zip(*(unpack_keys(blob.as_buffer()) for blob in rows.column(1))))
             order = np.argsort(key, kind="stable")
             key, node = key[order], node[order]
             same = np.flatnonzero(key[1:] == key[:-1])
@@ -327,7 +417,6 @@ def _regions(scan: DataFrame) -> DataFrame:
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["a", "b"])
 
-    blobs = scan.filter("part is not null").select("part", "keys")
     return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -335,6 +424,7 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
     """rep, root, links: spanning forest and link counts from rows (region, lo, hi, own, rep, copies, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for (_, lo, hi), rows in runs_of(batches, 3):
             own, rep, copies = (rows.column(c).to_numpy() for c in (3, 4, 5))
             each = [x.as_py() for x in rows.column(6)]
@@ -346,13 +436,10 @@ def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
                 side = np.zeros(len(rep), int)
             else:
                 side = np.where(own == lo, 1, 2)
-            i, j = Region(np.concatenate(each), bounds, percent).pairs(np.arange(len(rep)), side)
-            if not len(i):
-                continue
-            n = len(rep)
-            links = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
-            root = union_roots(i, j, n)
+            links, root = Region(np.concatenate(each), bounds, percent).join(side, copies)
             used = np.flatnonzero(links)
+            if not len(used):
+                continue
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rep[used]), pa.array(rep[root[used]]), pa.array(links[used].astype(np.int64))],
                 names=["rep", "root", "links"],
@@ -377,9 +464,9 @@ def jaccard_classes(
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranges = int(min(8192, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    scan = materialize(_scan(rows, k, percent, ranges), "jaccard-scan", codec="lz4")
-    each = scan.filter("part is null").select("doc_id", "n", "h1", "h2")
-    regions = connected_components(_regions(scan), "jaccard-regions")
+    digests = materialize(_digests(rows, k), "jaccard-sizes")
+    each = digests.filter("common is null").select("doc_id", "n", "h1", "h2")
+    regions = connected_components(_regions(_keys(rows, k, percent, ranges, _common(digests))), "jaccard-regions")
     known = each.filter("n > 0 and doc_id is not null")
     sets = materialize(
         known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")),
@@ -393,6 +480,7 @@ def jaccard_classes(
     cand = materialize(cand.select("rep", "h1", "h2", "copies", "region", "shares"), "jaccard-candidates")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column(6)):
                 found, bounds = shingle_sets(_LOWER[data], offsets, k)
@@ -404,6 +492,8 @@ def jaccard_classes(
                 cols = [part.column(c).take(pa.array(ok)) for c in (0, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([*cols, blobs], names=["rep", "copies", "region", "shares", "shingles"])
 
+    if cand.count() <= BROADCAST_CANDIDATES:
+        cand = F.broadcast(cand)
     texts = rows.filter("doc_id is not null").join(cand, F.col("doc_id") == F.col("rep"))
     texts = texts.select("rep", "h1", "h2", "copies", "region", "shares", "text")
     held = texts.mapInArrow(shingled, "rep bigint, copies bigint, region bigint, shares bigint, shingles binary")
@@ -430,3 +520,25 @@ def jaccard_classes(
         F.when(F.col("doc_id").isNotNull(), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"),
         F.when(alone | F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
+
+
+#: Ids of dropped rows up to which they go to all tasks; above, rows are dealt by id.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose class has a smaller doc_id.
+
+    Of rows that repeat doc_id and text one stays; rows without a doc_id stay.
+    """
+    classes = materialize(jaccard_classes(docs, k, percent).select("doc_id", "component_id"), "jaccard-out")
+    known = classes.filter("doc_id is not null")
+    dropped = known.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    small = dropped.count() <= BROADCAST_IDS  # checked: 8 MB at most
+    out = docs.join(F.broadcast(dropped) if small else dropped, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return out
+    twice = out.join(again, "doc_id", "left_semi").withColumn("_text_key", F.xxhash64("text"))
+    once = twice.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
