@@ -98,3 +98,36 @@ ORACLES = {
         from p left join f on p.d = f.d and p.n >= 100
     """,
 }
+
+#: Links and components by brute force, for the small tables that the SQL is run on.
+_COMPONENTS = """,
+    ways as (select a, b from links union all select b, a from links),
+    reach(n, c) as (select id, id from ids union select r.n, w.b from reach r join ways w on r.c = w.a),
+    comp as (select n, min(c) as c from reach group by n),
+    deg as (select a as n, count(*) as k from ways group by a)
+"""
+ORACLES["op1_jaccard_join"] = f"""
+    with recursive w as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x20\\x09-\\x0D]+') as w from documents),
+    s as (
+        select distinct doc_id, array_to_string(w[i : i + 3], ' ') as s from w, unnest(range(1, len(w) - 2)) t(i) where len(w) >= 4
+        union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 3),
+    n as (select w.doc_id as id, count(s.s) as n from w left join s on w.doc_id = s.doc_id group by 1),
+    ids as (select id from n),
+    c as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by all),
+    links as (select a, b from c join n p on p.id = a join n q on q.id = b where 100 * k >= 85 * (p.n + q.n - k))
+    {_COMPONENTS}
+    select n.id as doc_id, n.n as n_shingles, comp.c as component_id, coalesce(deg.k, 0) as n_links
+    from n join comp on comp.n = n.id left join deg on deg.n = n.id
+"""
+ORACLES["op6_collision_counting"] = f"""
+    with recursive v as (
+        select vec_id as id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0
+          and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    ids as (select vec_id as id from embeddings),
+    links as (select x.id as a, y.id as b from v x join v y on x.id < y.id and list_cosine_similarity(x.e, y.e) >= 0.9)
+    {_COMPONENTS}
+    select comp.n as vec_id, coalesce(deg.k, 0) as n_links, comp.c as component_id, comp.n = comp.c as kept
+    from comp left join deg on deg.n = comp.n
+"""
