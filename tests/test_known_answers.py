@@ -92,7 +92,7 @@ def test_string_rules(spark):
     assert tuple(got) == (1700000000000, 1700000000000, None, 1700000000000)
     got = one(spark, *[S.duration_text(lit(x)) for x in (None, 500, 61_000, 3_720_000)])
     assert tuple(got) == ("Not timed yet", "Less than 1 second", "1 min 01 sec", "1 hr 02 min")
-    got = one(spark, S.version_at_least(lit("COLMAP 4.1.1 (x)"), (4, 1, 1)), S.version_at_least(lit("4.1.0"), (4, 1, 1)), S.version_at_least(lit("none"), (4, 1, 1)), S.is_version(lit("1.02.3")))
+    got = one(spark, S.version_at_least(lit("tool 4.1.1 (x)"), (4, 1, 1)), S.version_at_least(lit("4.1.0"), (4, 1, 1)), S.version_at_least(lit("none"), (4, 1, 1)), S.is_version(lit("1.02.3")))
     assert tuple(got) == (True, False, False, False)
     assert tuple(one(spark, *S.brand_and_model(lit("DJI"), lit("dji - Osmo 360")))) == ("DJI", "Osmo 360")
 
