@@ -14,7 +14,7 @@ from quillon.shipping import ship_package
 
 #: Bytes of a repeated string that is cut out: a passage of fifty words is longer.
 REPEAT_BYTES = 240
-REPEAT_GRAM = 96
+REPEAT_GRAM = 128
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
