@@ -29,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import expand, materialize, mix64, prefix_hash, range_hash, runs_of, text_chunks
+from quillon.llm.common import expand, materialize, mix64, prefix_hash, range_hash, runs_of, steady_memory, text_chunks
 
 LENGTH = 400
 GRAM = 128
 SYMBOL = 8
 #: Contexts of one anchor that a shard may hold, and bytes that a shard aims at.
-SHARD_CONTEXTS = 24_000
+SHARD_CONTEXTS = 12_000
 SHARD_BYTES = 3 << 20
 MERGE_RANGES = 16
+#: Keys that a task packs at a time, and rows whose cut texts it holds.
+FLUSH_KEYS = 750_000
+CUT_ROWS = 500
 
 
 # ------------------------------------------------------------------- routing
@@ -117,7 +120,7 @@ def _scan(rows: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
                 )
                 held.append(np.column_stack([h, context, np.ones(len(h), np.uint64)]))
                 size += len(h)
-                if size >= 2_000_000:
+                if size >= FLUSH_KEYS:
                     yield flush()
                     size = 0
         if size:
@@ -137,6 +140,7 @@ def _shared(scan: DataFrame) -> DataFrame:
     """Contexts of anchors that occur twice: their count, and the anchor's number of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for _, rows in runs_of(batches, 1):
             keys = combine(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 3) for x in rows.column(1)]))
             cut = np.flatnonzero(np.concatenate(([True], keys[1:, 0] != keys[:-1, 0])))
@@ -155,6 +159,7 @@ def _shared(scan: DataFrame) -> DataFrame:
 
 def _runs(scan: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             for s in range(0, batch.num_rows, 1000):
                 part = batch.slice(s, 1000)
@@ -311,6 +316,7 @@ def _search_shards(contexts: DataFrame, length: int) -> DataFrame:
     """h, context, spans (pairs of window numbers), open (fingerprints of the windows of split anchors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for (bucket,), rows in runs_of(batches, 1):
             h, context, copies, windows, anchor = (rows.column(c).to_numpy() for c in range(1, 6))
             texts = rows.column(6).to_pylist()
@@ -345,6 +351,7 @@ def _merge_shards(found: DataFrame) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for batch in batches:
             for i in range(batch.num_rows):
                 x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).reshape(-1, 3)
@@ -362,6 +369,7 @@ def _merge_shards(found: DataFrame) -> DataFrame:
                 )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         for (h, _), rows in runs_of(batches, 2):
             each = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 3) for x in rows.column(3)]
             sizes = np.array([len(x) for x in each])
@@ -427,6 +435,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady_memory()
         names = ["bucket", "h", "context", "copies", "windows", "anchor", "text"]
         for batch in batches:
             for i in range(batch.num_rows):
@@ -504,7 +513,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
         schema = schema.add(c, "string" if c == "kept_sha256" else "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        steady_memory()
+        for batch in (b.slice(s, CUT_ROWS) for b in batches for s in range(0, b.num_rows, CUT_ROWS)):
             cols = dict(zip(batch.schema.names, batch.columns))
             out, stats = [], []
             for text, mark in zip(cols["text"], cols["__marks"]):
