@@ -225,7 +225,8 @@ class Mix:
         keys = ["doc_id", "text_key", "source", "source_no", "size", "source_size", "target", "start"]
         # documents of no tokens share their start with others of none: they skip the join
         spans = self.spans()
-        some = spans.filter("size > 0").join(uses, ["source_no", "block"], "left")
+        # the planner cannot know how many slots there are, and must not send them to all tasks
+        some = spans.filter("size > 0").join(uses.hint("merge"), ["source_no", "block"], "left")
         some = some.groupBy(*keys).agg(F.sum(F.col("tokens") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
         none = spans.filter("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
         return some.unionByName(none)
@@ -246,7 +247,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     as one document.
     """
     mix = Mix(docs, **options)
-    spans = mix.spans().filter("size > 0").join(mix.uses(), ["source_no", "block"])
+    spans = mix.spans().filter("size > 0").join(mix.uses().hint("merge"), ["source_no", "block"])
     spans = spans.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source")).agg(
         F.array_sort(F.collect_list(F.struct("within", "tokens", "uses"))).alias("_spans")
     )
@@ -256,7 +257,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         & (F.col("_text_key") == F.col("_key"))
         & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     )
-    joined = keyed.join(spans, same).select(*[keyed[c] for c in docs.columns], "_spans")
+    joined = keyed.join(spans.hint("merge"), same).select(*[keyed[c] for c in docs.columns], "_spans")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
