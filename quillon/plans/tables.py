@@ -506,7 +506,7 @@ def remaining_time(t):
     select event_id, round(c / (1200.0 - c), 6) as iou from i""",
 )
 def box_overlap(t):
-    rows = t.ev.filter("event_id < 3000")
+    rows = t.ev
     before = rows.select((F.col("event_id") + 1).alias("event_id"), F.col("value").alias("px"), F.col("k").alias("py"))
     both = rows.join(before, "event_id")
     w = F.least(F.col("value") + 20.0, F.col("px") + 20.0) - F.greatest("value", "px")
@@ -697,5 +697,5 @@ def comparison_rows(t):
 )
 def finite_projection(t):
     x = F.when(F.col("k") % 14 == 0, F.lit(float("nan"))).when(F.col("k") % 7 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
-    out = t.ev.filter("k % 7 <> 1").select("event_id", finite(x).alias("x"))
+    out = t.ev.select("event_id", finite(x).alias("x"))
     return out.filter(is_finite("x") | F.col("x").isNull())
