@@ -230,7 +230,7 @@ def robust_medians(t):
            round((select max(k) from sizes) / (select count(*) from comp), 6) as coverage""",
 )
 def model_quality(t):
-    track = t.lineitem.filter("l_orderkey % 50 = 0").select("l_orderkey", "l_suppkey").distinct()
+    track = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
     comp = graph.component_sizes(track, "l_suppkey", graph.star_edges(track, "l_orderkey", "l_suppkey"), "model")
     one = F.lit(1).alias("model")
     images = track.select(one, F.col("l_suppkey").alias("image_id")).distinct()

@@ -1,6 +1,8 @@
 """Registered queries read their whole tables: compared with plain Python over every row."""
 
 import os
+from collections import Counter
+from statistics import median
 
 import pyarrow.parquet as pq
 import pytest
@@ -37,3 +39,29 @@ def test_box_overlap_of_late_events(spark, events, tmp_path):
 def test_finite_projection_keeps_every_event(spark, events):
     got = {r.event_id: r.x for r in QUERIES["finite_projection"](spark, DIR).collect()}
     assert got == {r.event_id: None if r.k % 7 == 0 else r.value for r in events}
+
+
+def test_model_quality_of_every_line(spark):
+    lines = pq.read_table(f"{DIR}/lineitem.parquet", columns=["l_orderkey", "l_suppkey"]).to_pylist()
+    tracks = {}
+    for r in lines:
+        tracks.setdefault(r["l_orderkey"], set()).add(r["l_suppkey"])
+    root = {i: i for t in tracks.values() for i in t}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for t in tracks.values():
+        for i in t:
+            root[find(i)] = find(min(t))
+    sizes = Counter(find(i) for i in root)
+    got = QUERIES["model_quality"](spark, DIR).collect()
+    assert [r.asDict() for r in got] == [
+        {
+            "image_count": len(root), "point_count": len(tracks), "median_track_length": median(len(t) for t in tracks.values()),
+            "component_count": len(sizes), "largest_component": max(sizes.values()),
+            "coverage": pytest.approx(max(sizes.values()) / len(root), abs=1e-6),
+        }
+    ]
