@@ -326,8 +326,7 @@ def calibration_model(t):
     tele = made.select(F.col("user_id").alias("source"), (F.col("i") * 40.0 + 80.0).alias("ts"), F.col("i").cast("long").alias("pos"), Q.pack(q).alias("q"))
     vis = Q.multiply(Q.normalize(turn), q)
     visual = made.select(F.col("user_id").alias("source"), (F.col("i") * 40.0).alias("ts"), F.col("i").cast("long").alias("pos"), Q.pack(vis).alias("q"))
-    visual = visual.filter("source < 5")
-    out = calibration.calibrate(visual, tele.filter("source < 5"), ["source"], calibration.Config())
+    out = calibration.calibrate(visual, tele, ["source"], calibration.Config())
     off = Q.angle_degrees(Q.of("x"), Q.normalize(turn))
     return out.select(
         "source", "valid", "problem", "offset_ms", "convention", F.round("correlation", 6).alias("correlation"),
@@ -358,7 +357,7 @@ def gyro_integration(t):
 @query("gravity_fusion", "W5 W8 S9")
 def gravity_fusion(t):
     i = F.explode(F.sequence(F.lit(0), F.lit(300))).alias("i")
-    imu = t.ev.filter("event_id < 50").select(F.col("event_id").alias("source"), "value", i)
+    imu = t.ev.select(F.col("event_id").alias("source"), "value", i)
     a = F.array(F.lit(0.0), 0.3 * F.sin(F.col("i") + F.col("value")), F.lit(9.81))
     imu = imu.select("source", (F.col("i") * 10.0).alias("ts"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("gyro"), a.alias("accl"))
     out = motion.fuse_gravity(imu, ["source"])

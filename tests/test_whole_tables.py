@@ -65,3 +65,15 @@ def test_model_quality_of_every_line(spark):
             "coverage": pytest.approx(max(sizes.values()) / len(root), abs=1e-6),
         }
     ]
+
+
+def test_every_source_is_calibrated(spark, events):
+    got = QUERIES["calibration_model"](spark, DIR).collect()
+    assert sorted(r.source for r in got) == sorted({r.user_id for r in events})
+    assert all(r.valid and r.offset_ms == 80 and r.recovered for r in got)
+
+
+def test_every_source_is_fused(spark, events):
+    got = QUERIES["gravity_fusion"](spark, DIR).collect()
+    assert sorted(r.source for r in got) == [r.event_id for r in events]
+    assert all(0 < r.samples <= 301 and r.corrections > 0 and r.z < -0.99 for r in got)
