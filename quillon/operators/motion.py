@@ -83,11 +83,16 @@ def gap_segments(samples: DataFrame, by: list[str], ts: str, gap_ms: float = GAP
 
 
 def sampling_grid(ranges: DataFrame, by: list[str], most: int = 100_001) -> DataFrame:
-    """Times from first_ms to last_ms at rate_hz, held to 1 .. 200 Hz and ``most`` points."""
+    """Times from first_ms to last_ms, both included, at rate_hz held to 1 .. 200 Hz.
+
+    A range that needs more than ``most`` points gets that many at wider steps.
+    """
     step = F.lit(1000.0) / F.least(F.greatest(F.coalesce("rate_hz", F.lit(1.0)), F.lit(1.0)), F.lit(200.0))
-    n = F.least(F.floor((F.col("last_ms") - F.col("first_ms")) / step), F.lit(most - 1))
-    return ranges.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).select(
-        *by, "i", (F.col("first_ms") + F.col("i") * step).alias("ts")
+    span = F.col("last_ms") - F.col("first_ms")
+    wanted = F.ceil(span / step)
+    rows = ranges.withColumns({"_n": F.least(wanted, F.lit(most - 1)), "_s": F.when(wanted >= most, span / (most - 1)).otherwise(step)})
+    return rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "_n"))).select(
+        *by, "i", F.least(F.col("first_ms") + F.col("i") * F.col("_s"), "last_ms").alias("ts")
     )
 
 

@@ -267,7 +267,7 @@ def gap_segments(t):
 )
 def sampling_grid(t):
     ranges = t.ev.groupBy("user_id").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
-    grid = motion.sampling_grid(ranges.withColumn("rate_hz", F.lit(0.01)), ["user_id"], most=51)
+    grid = motion.sampling_grid(ranges.withColumn("rate_hz", F.lit(0.01)), ["user_id"])
     return grid.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.min("ts"), 3).alias("first_ms"))
 
 

@@ -1,5 +1,6 @@
 """Registered queries read their whole tables: compared with plain Python over every row."""
 
+import math
 import os
 from collections import Counter
 from statistics import median
@@ -8,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import motion
 from quillon.plans.base import Tables
 from quillon.registry import QUERIES
 
@@ -77,3 +79,23 @@ def test_every_source_is_fused(spark, events):
     got = QUERIES["gravity_fusion"](spark, DIR).collect()
     assert sorted(r.source for r in got) == [r.event_id for r in events]
     assert all(0 < r.samples <= 301 and r.corrections > 0 and r.z < -0.99 for r in got)
+
+
+def test_sampling_grid_of_whole_ranges(spark, events):
+    ranges = {}
+    for r in events:
+        lo, hi = ranges.get(r.user_id, (r.ms, r.ms))
+        ranges[r.user_id] = (min(lo, r.ms), max(hi, r.ms))
+    got = {r.user_id: r.points for r in QUERIES["sampling_grid"](spark, DIR).collect()}
+    assert got == {u: min(math.ceil((hi - lo) / 1000), 100_000) + 1 for u, (lo, hi) in ranges.items()}
+
+
+def test_sampling_grid_reaches_the_end(spark):
+    """As the reference: the end is a point, and beyond the limit the steps are wider."""
+    rows = [("long", 5.0, 1_000_005.0, 1.0), ("short", 0.0, 2500.0, 0.01), ("point", 7.0, 7.0, 1.0)]
+    ranges = spark.createDataFrame(rows, "s string, first_ms double, last_ms double, rate_hz double")
+    got = {}
+    for r in motion.sampling_grid(ranges, ["s"], most=101).orderBy("s", "i").collect():
+        got.setdefault(r.s, []).append(r.ts)
+    assert got["long"] == [5.0 + i * 10_000 for i in range(101)]
+    assert got["short"] == [0.0, 1000.0, 2000.0, 2500.0] and got["point"] == [7.0]
