@@ -38,6 +38,8 @@ SYMBOL = 8
 SHARD_CONTEXTS = 12_000
 SHARD_BYTES = 3 << 20
 MERGE_RANGES = 16
+#: Low bits of a gram's hash that hold its place; longer texts are scanned in pieces.
+PLACE_BITS = 24
 #: Keys that a task packs at a time, and rows whose cut texts it holds.
 FLUSH_KEYS = 750_000
 CUT_ROWS = 500
@@ -56,15 +58,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     at = np.arange(n - gram + 1)
     h = range_hash(prefix, at, at + gram)
     width = length - gram + 1
-    # hash first, then place: the leftmost of the smallest
-    low = (h & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
-    size = 1
-    while size * 2 <= width:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < width:
-        low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
-    place = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+    # hash first, then place: the leftmost of the smallest; places count from the piece's start, so they fit their bits
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    place = np.empty(n - length + 1, np.int64)
+    step = (1 << PLACE_BITS) - width + 1
+    for s in range(0, len(place), step):
+        e = min(s + step, len(place))
+        low = h[s : e + width - 1] & ~mask
+        low |= np.arange(len(low), dtype=np.uint64)
+        size = 1
+        while size * 2 <= width:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < width:
+            low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
+        place[s:e] = (low & mask).astype(np.int64) + s
     # windows that stay in one text
     sizes = np.diff(offsets)
     ok = np.flatnonzero(sizes >= length)

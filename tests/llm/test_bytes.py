@@ -139,6 +139,22 @@ def test_suffix_array_and_common_prefixes(strings):
         assert common_[k] == same
 
 
+@pytest.mark.parametrize("bits,size", [(24, (1 << 24) + 3000), (7, 3000)])
+def test_anchors_of_long_texts(bits, size, monkeypatch):
+    """Anchors are places in the whole text, and the same as those of its end alone."""
+    data = np.random.default_rng(4).integers(97, 123, size).astype(np.uint8)
+    cut = size - 2000
+    tail = suffix_dedup.anchors(data[cut:], np.array([0, 2000]), 90, 40)
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", bits, raising=False)
+    whole = suffix_dedup.anchors(data, np.array([0, size]), 90, 40)
+    first, count, anchor, h, context = whole
+    assert count.sum() == size - 90 + 1 and (anchor >= first).all() and (anchor + 40 <= first + count - 1 + 90).all()
+    late = first > cut
+    assert late.sum() > 10
+    for a, b, base in zip(whole, tail, (cut, 0, cut, 0, 0)):
+        assert np.array_equal(a[late], b[-late.sum() :] + np.asarray(base, b.dtype))
+
+
 def test_targets_hold_the_cap_and_the_whole():
     sizes = [100, 5, 300, 0, 50]
     got = mixing.resolve_targets(sizes, [5, 2, 1, 5, 2])
