@@ -61,7 +61,8 @@ HEADER_WORDS = {"header", "masthead", "banner"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+READ = {"class", "id", "role", "hidden", "aria-hidden"}
 PARTS = re.compile(r"[a-z]+")
 
 #: Entries up to which the templates go to all tasks; above, pages are dealt by host.
@@ -84,6 +85,8 @@ def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
     if attrs:
         for name, a, b, c in ATTRIBUTE.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
+            if name not in READ:
+                continue
             if name == "class":
                 first = (value.split() or [""])[0]
             if name == "hidden" or (name == "aria-hidden" and value == "true"):

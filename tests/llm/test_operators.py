@@ -333,6 +333,23 @@ def test_constant_texts_are_template_and_copies_are_not(spark):
     assert {got[100 + i] for i in range(20)} == {"Daily Site same story All rights"}
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ('<body style="overflow-x:hidden"><p>a</p></body>', "a"),
+        ('<div class="content" style="overflow: hidden">a</div>', "a"),
+        ("<div title='hidden gems'>a</div><div data-hidden=false>b</div>", "a b"),
+        ('<article><p>a <a href="/story?id=ad12">b</a> c</p></article>', "a b c"),
+        ('<div title="class=ad">a</div><div data-id="ad">b</div><div title=\'x" hidden\'>c</div>', "a b c"),
+        ('<div hidden>a</div><div class="x"hidden="">b</div><div HIDDEN = "until-found">c</div>d', "d"),
+        ('<div aria-hidden="true">a</div><div aria-hidden="false">b</div><div id=ad>c</div><div role="navigation">d</div>', "b"),
+        ("<body hidden>a</body>", ""),
+    ],
+)
+def test_attributes_are_read_by_name(source, want):
+    assert " ".join(t for _, _, t in html_text.parse(source)[1]) == want
+
+
 def test_tree_matching():
     a, b = "0:(1:x(2:a,3:b,4:c))", "0:(1:x(2:a,3:c,4:d))"
     assert html_text.align(html_text.read_tree(a), html_text.read_tree(b)) == {0: 0, 1: 1, 2: 2, 4: 3}
