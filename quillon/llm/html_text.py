@@ -10,7 +10,9 @@ adverts, forms and comments, known by tag, class or role, are never content,
 and where a page marks its article only that is.
 
 Pages that are copies of each other count once, so a group of copies does not
-turn its own article into template; and a host of few pages has no template.
+turn its own article into template; and a host of one page has no template.
+On a host of few pages, those of one longest text are versions of one page and
+count once too.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ from quillon.llm.common import materialize, steady_memory
 
 #: A text is template if this share of a host's different pages have it at one node, and these many at least.
 TEMPLATE_SHARE = 0.8
-TEMPLATE_PAGES = 10
+TEMPLATE_PAGES = 2
+#: A host of fewer different pages has few.
+FEW_PAGES = 10
+#: Parts of a host's pages that are joined with its size apart.
+SHARES = 32
 MAX_CHILDREN = 64
 MAX_DEPTH = 150
 
@@ -311,8 +317,14 @@ def induce(parsed: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
     aligned = aligned.mapInPandas(run, "host string, shape string, slots array<int>")
     # one page of each group of copies
     body = F.xxhash64(F.col("blocks.text"))
-    seen = parsed.select("host", "shape", body.alias("body"), F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))).alias("marks"))
-    different = seen.groupBy("host", "body").agg(F.min(F.struct("shape", "marks")).alias("p"))
+    main = F.array_max(F.transform("blocks", lambda b: F.struct(F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))))["h"]
+    seen = parsed.select("host", "shape", body.alias("body"), main.alias("main"), F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))).alias("marks"))
+    different = seen.groupBy("host", "body").agg(F.min(F.struct("shape", "marks", "main")).alias("p"))
+    sizes = seen.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    kind = F.when(F.col("size") < FEW_PAGES, F.col("p.main")).otherwise(F.col("body"))
+    # a large host is dealt into shares, each with the host's size
+    sizes = sizes.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    different = different.withColumn("share", F.pmod("body", F.lit(SHARES).cast("long"))).join(sizes, ["host", "share"]).groupBy("host", kind.alias("kind")).agg(F.min(F.struct("p.shape", "p.marks")).alias("p"))
     different = different.select("host", "p.shape", "p.marks")
     totals = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least)
     marks = different.select("host", "shape", F.explode(F.array_distinct("marks")).alias("m"))

@@ -333,6 +333,21 @@ def test_constant_texts_are_template_and_copies_are_not(spark):
     assert {got[100 + i] for i in range(20)} == {"Daily Site same story All rights"}
 
 
+def test_hosts_of_few_pages_have_templates(spark):
+    frame = "<body><div>Daily Site</div><div>{}</div><p>All rights {}</p></body>"
+    rows = [(10 * n + i, f"http://h{n}.example/{i}", frame.format(f"a much longer story {i}", "kept")) for n in (1, 2, 3, 9) for i in range(n)]
+    # versions of one page, and beside another page
+    rows += [(200 + i, f"http://v.example/{i}", frame.format("the one long story here", i)) for i in range(3)]
+    rows += [(300 + i, f"http://w.example/{i}", frame.format("the one long story here" if i else "quite another long story", i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got[10] == "Daily Site a much longer story 0 All rights kept"
+    assert all(got[10 * n + i] == f"a much longer story {i}" for n in (2, 3, 9) for i in range(n))
+    assert [got[200 + i] for i in range(3)] == [f"Daily Site the one long story here All rights {i}" for i in range(3)]
+    assert got[300] == "quite another long story All rights 0"
+    assert [got[300 + i] for i in range(1, 5)] == [f"the one long story here All rights {i}" for i in range(1, 5)]
+
+
 @pytest.mark.parametrize(
     "source,want",
     [
