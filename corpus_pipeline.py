@@ -13,7 +13,7 @@ from quillon.llm import common, jaccard_join, mixing, packing, quality, suffix_d
 from quillon.shipping import ship_package
 
 #: Bytes of a repeated string that is cut out: a passage of fifty words is longer.
-REPEAT_BYTES = 240
+REPEAT_BYTES = suffix_dedup.PASSAGE
 REPEAT_GRAM = 128
 
 

@@ -97,11 +97,12 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20):
     ``offsets`` has last - first + 1 entries into ``bytes``; a null is an empty
     text.  A text longer than the limit is a run of its own.
     """
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    wide = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(wide) if column.type != wide else column
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if wide == pa.large_binary() else "")
     n = len(column)
     if n == 0:
         return

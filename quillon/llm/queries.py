@@ -43,8 +43,10 @@ def op3_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the digest is of the cut at 400 bytes; the text, which follows it, also lacks repeated passages of fifty words
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs, length=400, keep_text=False)
+    out = suffix_dedup.remove_repeats(docs, length=400, passage=suffix_dedup.PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

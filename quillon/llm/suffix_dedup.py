@@ -17,6 +17,10 @@
    shards.  Each gives its windows as sorted fingerprints, cut by range; a
    range's arrays are looked up in each other by binary search.
 4. Repeated windows go back to their documents as spans, and are cut out.
+
+Two lengths can be asked for at once.  The shorter one is searched first; a
+longer window can only repeat where every shorter window in it repeats, so the
+longer search reads no more than the runs that the shorter one found.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import expand, materialize, mix64, prefix_hash, range_hash, runs_of, steady_memory, text_chunks
 
 LENGTH = 400
+#: Bytes that a passage of fifty words exceeds.
+PASSAGE = 240
 GRAM = 128
 SYMBOL = 8
 #: Contexts of one anchor that a shard may hold, and bytes that a shard aims at.
@@ -86,8 +92,44 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return first, count, anchor, h[anchor], range_hash(prefix, first, first + count - 1 + length)
 
 
-def _scan(rows: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
-    """A row per text with its packed runs, and rows of packed (anchor, context, count) by range."""
+def stretches(places: np.ndarray, spans: list, length: int, least: int) -> np.ndarray:
+    """(from, to) of the bytes that runs of marked windows cover without a gap; those of ``least`` bytes at least."""
+    pieces = [np.zeros((0, 2), np.int64)]
+    for p, s in zip(places.tolist(), spans):
+        own = np.array([[0, p >> 16 & 0xFFFF]]) if s is None else np.frombuffer(s, np.int32).reshape(-1, 2).astype(np.int64)
+        pieces.append(own + (p >> 32))
+    x = np.concatenate(pieces)
+    x = x[np.argsort(x[:, 0], kind="stable")]
+    if not len(x):
+        return x
+    end = np.maximum.accumulate(x[:, 1])
+    new = np.flatnonzero(np.concatenate(([True], x[1:, 0] > end[:-1])))
+    out = np.column_stack([x[new, 0], end[np.concatenate((new[1:] - 1, [len(x) - 1]))] + length - 1])
+    return out[out[:, 1] - out[:, 0] >= least]
+
+
+def _stretch_chunks(batch: pa.RecordBatch, shorter: int, length: int):
+    """Like ``text_chunks``, of the stretches alone: chunks of rows, bytes, offsets, each piece's row and first byte."""
+    held, rows, at, size, first = [], [], [], 0, 0
+    for i in range(batch.num_rows):
+        raw, marks = batch.column(2)[i].as_py(), batch.column(3)[i].values
+        found = stretches(marks.field("place").to_numpy(), marks.field("spans").to_pylist(), shorter, length)
+        for a, b in found.tolist():
+            held.append(raw[a:b])
+            rows.append(i - first)
+            at.append(a)
+            size += b - a
+        if held and (size >= 1 << 19 or i + 1 == batch.num_rows):
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in held])))
+            yield first, i + 1, np.frombuffer(b"".join(held), np.uint8), offsets, np.array(rows), np.array(at)
+            held, rows, at, size, first = [], [], [], 0, i + 1
+
+
+def _scan(rows: DataFrame, length: int, gram: int, ranges: int, shorter: int = 0) -> DataFrame:
+    """A row per text with its packed runs, and rows of packed (anchor, context, count) by range.
+
+    With ``shorter``, rows carry the marks of that length and only what they cover is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -110,11 +152,18 @@ def _scan(rows: DataFrame, length: int, gram: int, ranges: int) -> DataFrame:
                 names=names,
             )
 
-        for batch in batches:
+        def pieces(batch: pa.RecordBatch):
+            if shorter:
+                yield from _stretch_chunks(batch, shorter, length)
+                return
             for i, j, data, offsets in text_chunks(batch.column(2), 1 << 19):
+                yield i, j, data, offsets, np.arange(j - i), np.zeros(j - i, np.int64)
+
+        for batch in batches:
+            for i, j, data, offsets, owner, base in pieces(batch):
                 first, count, anchor, h, context = anchors(data, offsets, length, gram)
-                doc = np.searchsorted(offsets, first, side="right") - 1
-                start = offsets[doc]
+                piece = np.searchsorted(offsets, first, side="right") - 1
+                doc, start = owner[piece], offsets[piece] - base[piece]
                 packed = np.column_stack(
                     [h.view(np.int64), context.view(np.int64), (first - start) << 32 | count << 16 | (anchor - first)]
                 )
@@ -414,18 +463,29 @@ def _merge_shards(found: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ operator
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+def find_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS,
+    within: tuple[DataFrame, int] | None = None,
+) -> DataFrame:
     """r1, r2 and marks (place of a run, spans of its repeated windows) of the texts that have any.
 
     (r1, r2) are hashes of a row's doc_id and text, so rows that agree in both
-    have the same marks.
+    have the same marks.  ``within`` is the result for a shorter length and
+    that length: only the texts' stretches that it marks are searched.
     """
     if not 2 * SYMBOL <= gram < length:
         raise ValueError("the gram must be shorter than the length")
+    if within is not None and not gram < within[1] <= length:
+        raise ValueError("the shorter length must lie between the gram and the length")
     spark = docs.sparkSession
     rows = _keyed(docs)
     ranges = int(min(8192, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    scan = materialize(_scan(rows, length, gram, ranges), "repeat-scan", codec="lz4")
+    if within is None:
+        scan = _scan(rows, length, gram, ranges)
+    else:
+        marked = within[0].groupBy("r1", "r2").agg(F.collect_set(F.struct("place", "spans")).alias("marks"))
+        scan = _scan(rows.join(marked, ["r1", "r2"]).select("r1", "r2", "text", "marks"), length, gram, ranges, within[1])
+    scan = materialize(scan, "repeat-scan", codec="lz4")
     shared = materialize(_shared(scan), "repeat-shared", codec="lz4")
     runs = materialize(_runs(scan).join(shared, ["h", "context"]), "repeat-runs", codec="lz4")
     # a context is read from one of its places
@@ -447,7 +507,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
         names = ["bucket", "h", "context", "copies", "windows", "anchor", "text"]
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column(0)[i].as_py().encode()
+                raw = batch.column(0)[i].as_py()
                 asked = batch.column(1)[i].values
                 place = asked.field("place").to_numpy()
                 start, n, anchor = place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF
@@ -477,10 +537,10 @@ def _identity() -> dict:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(r1, r2, text) of every row; a null text is empty."""
+    """(r1, r2, text's bytes) of every row; a null text is empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = {k[2:]: v for k, v in _identity().items()}
-    return docs.select(*[v.alias(k) for k, v in named.items()], text.alias("text"))
+    return docs.select(*[v.alias(k) for k, v in named.items()], text.cast("binary").alias("text"))
 
 
 def covered(place: np.ndarray, spans: list, length: int) -> np.ndarray:
@@ -499,7 +559,9 @@ def covered(place: np.ndarray, spans: list, length: int) -> np.ndarray:
     return np.column_stack([x[new, 0], end[np.concatenate((new[1:] - 1, [len(x) - 1]))]])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True, **options) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, keep_text: bool = True, passage: int | None = None, **options
+) -> DataFrame:
     """Every row of ``docs`` with its text cut, and n_bytes, n_removed, n_spans, kept_sha256 of the cut.
 
     A text is its UTF-8 bytes (null: none).  Every byte covered by a string of
@@ -507,12 +569,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     strings are judged on the input.  Cutting may part a character's bytes:
     kept_sha256 is of the bytes, the kept text drops such remains.  Columns of
     those four names are replaced, all others kept, whatever their names; a null text stays null.
-    Without ``keep_text`` the text is left out.
+    Without ``keep_text`` the text is left out.  With ``passage``, a shorter
+    length, the text is cut at that length (repeated passages too short for
+    ``length`` go as well), while the four columns are still of ``length``.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*added)
-    marks = find_repeats(docs, length, **options)
-    marks = marks.groupBy("r1", "r2").agg(F.collect_set(F.struct("place", "spans")).alias("marks"))
+    if passage is None or passage == length:
+        cut_at = length
+        marks = find_repeats(docs, length, **options).withColumn("short", F.lit(False))
+    else:
+        cut_at = passage
+        fine = materialize(find_repeats(docs, passage, **options), "repeat-passages", codec="lz4")
+        marks = fine.withColumn("short", F.lit(True))
+        whole = find_repeats(docs, length, within=(fine, passage), **options)
+        marks = marks.unionByName(whole.withColumn("short", F.lit(False)))
+    marks = marks.groupBy("r1", "r2").agg(F.collect_set(F.struct("place", "spans", "short")).alias("marks"))
     marks = marks.select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("marks").alias("__marks"))
     rows = docs.withColumns(_identity()).join(marks, ["__r1", "__r2"], "left").drop("__r1", "__r2")
     names = [c for c in docs.columns if keep_text or c != "text"]
@@ -533,10 +605,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
                     if keep_text:
                         out.append(text)
                     continue
-                x = covered(mark.values.field("place").to_numpy(), mark.values.field("spans").to_pylist(), length)
-                kept = b"".join(raw[a:b] for a, b in zip([0, *x[:, 1]], [*x[:, 0], len(raw)]))
+                place, spans = mark.values.field("place").to_numpy(), mark.values.field("spans").to_pylist()
+                short = mark.values.field("short").to_numpy(zero_copy_only=False)
+                kept, x = without(raw, place[~short], [s for s, w in zip(spans, short) if not w], length)
                 stats.append((len(raw), len(raw) - len(kept), len(x), hashlib.sha256(kept).hexdigest()))
                 if keep_text:
+                    if cut_at != length:
+                        kept, _ = without(raw, place[short], [s for s, w in zip(spans, short) if w], cut_at)
                     out.append(kept.decode("utf-8", "ignore"))
             if keep_text:
                 cols["text"] = pa.array(out, pa.string())
@@ -545,3 +620,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
             yield pa.RecordBatch.from_arrays([cols[c] for c in [*names, *added]], names=[*names, *added])
 
     return rows.mapInArrow(run, schema)
+
+
+def without(raw: bytes, place: np.ndarray, spans: list, length: int) -> tuple[bytes, np.ndarray]:
+    """The bytes outside the marked windows, and the spans that were cut."""
+    x = covered(place, spans, length)
+    return b"".join(raw[a:b] for a, b in zip([0, *x[:, 1]], [*x[:, 0], len(raw)])), x

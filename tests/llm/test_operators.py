@@ -155,7 +155,14 @@ def test_mix_of_nothing(spark):
 # --------------------------------------------------------------------- op 4
 
 
-def removed_ref(texts, n):
+def kept_ref(texts, n):
+    out = []
+    removed_ref(texts, n, out)
+    return out
+
+
+def removed_ref(texts, n, keep=None):
+    keep = [] if keep is None else keep
     raws = [(t or "").encode() for t in texts]
     count = Counter(r[i : i + n] for r in raws for i in range(len(r) - n + 1))
     out = []
@@ -165,6 +172,7 @@ def removed_ref(texts, n):
             if count[r[i : i + n]] > 1:
                 hit[i : i + n] = b"\1" * n
         kept = bytes(x for x, h in zip(r, hit) if not h)
+        keep.append(kept)
         spans = sum(1 for i in range(len(r)) if hit[i] and (i == 0 or not hit[i - 1]))
         out.append((len(r), len(r) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
     return out
@@ -194,6 +202,29 @@ def test_remove_repeats(spark, n, gram, contexts):
         assert (r.text is None) == (texts[i] is None)
 
 
+@pytest.mark.parametrize("n,passage,gram,contexts", [(400, 240, 128, 12_000), (60, 40, 24, 12_000), (60, 31, 16, 2)])
+def test_remove_repeats_at_two_lengths(spark, n, passage, gram, contexts):
+    """Counts and digest are those of the longer length alone, the text that of the shorter."""
+    rng = random.Random(n + passage)
+    word = lambda k: " ".join("".join(rng.choice("abcdeéf") for _ in range(rng.randint(1, 7))) for _ in range(k))
+    shared = [word(rng.randint(passage // 6, n // 4)) for _ in range(8)]
+    texts = [f"{word(rng.randint(3, 60))} {rng.choice(shared)} {word(rng.randint(3, 60))} {rng.choice(shared)}" for _ in range(40)]
+    base = word(300)
+    texts += [base[:k] + "x" + base[k:] for k in range(0, len(base), 97)] + [base, base, "ab" * n, "", None, "a" * (n + 1)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs_frame(spark, texts), n, passage=passage, gram=gram, shard_contexts=contexts).collect()}
+    for i, (want, short) in enumerate(zip(removed_ref(texts, n), kept_ref(texts, passage))):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
+        assert r.text == (None if texts[i] is None else short.decode("utf-8", "ignore"))
+
+
+def test_stretches():
+    place = np.array([10 << 32 | 5 << 16, 15 << 32 | 3 << 16 | 2, 30 << 32 | 4 << 16])
+    some = np.array([1, 3], np.int32).tobytes()
+    assert suffix_dedup.stretches(place, [None, None, some], 8, 1).tolist() == [[10, 25], [31, 40]]
+    assert suffix_dedup.stretches(place, [None, None, some], 8, 10).tolist() == [[10, 25]]
+
+
 def test_remove_repeats_edges(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(None, "q" * 30 + "x" * 500), (1, "x" * 10), (1, "x" * 10)], "doc_id long, text string")
