@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import is_valid_vector, materialize, runs_of, steady_memory
+from quillon.llm.common import is_valid_vector, materialize, mix64, runs_of, steady_memory
 
 BLOCK = 4096
-QUERY_BLOCK = 2048
+#: Queries that meet an index block at once.  A block holds 4 bits and its vector's own bytes for each dimension, and
+#: travels once for each of these, so what is shuffled is (vectors / QUERY_BLOCK) x queries blocks.  Vectors fetched
+#: later by id would travel once for each query that reranks them, which is more from one rerank in some 300 vectors on.
+QUERY_BLOCK = 16_384
 EPS = 2.8
 #: Bits of a code for each dimension: vectors are padded with zeros before the rotation.
 BITS = 4
@@ -53,6 +56,14 @@ def estimate(codes: np.ndarray, norms, fixes, queries: np.ndarray, rot: np.ndarr
     return raw * (norms / fixes).astype(np.float32), np.linalg.norm(queries, axis=1), off.astype(np.float32)
 
 
+def query_marks(q: np.ndarray) -> np.ndarray:
+    """A hash of each row, which sets queries of one vec_id apart."""
+    out = np.zeros(len(q), np.uint64)
+    for c in (q + 0.0).view(np.uint64).T:
+        out = mix64(out) + c
+    return mix64(out).view(np.int64)
+
+
 class Best:
     """The ``k`` best of each query so far; their worst score bounds what later blocks must reach."""
 
@@ -90,13 +101,21 @@ class Best:
     def rows(self) -> pa.RecordBatch:
         keep = ~np.isinf(self.scores)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.q_ids, keep.sum(axis=1))), pa.array(self.ids[keep]), pa.array(self.scores[keep])],
-            names=["query_id", "vec_id", "score"],
+            [
+                pa.array(np.repeat(self.q_ids, keep.sum(axis=1))), pa.array(np.repeat(query_marks(self.q), keep.sum(axis=1))),
+                pa.array(self.ids[keep]), pa.array(self.scores[keep]),
+            ],
+            names=["query_id", "query_mark", "vec_id", "score"],
         )
 
 
+def _kind(vectors: DataFrame) -> str:
+    return "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+
+
 def build_index(vectors: DataFrame, dim: int, seed: int = 5, block: int = BLOCK) -> DataFrame:
-    """Blocks of codes, correction scalars and vectors of all rows of (vec_id, embedding)."""
+    """Blocks of codes, correction scalars and vectors (in their own precision) of all rows of (vec_id, embedding)."""
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_memory()
@@ -110,7 +129,7 @@ def build_index(vectors: DataFrame, dim: int, seed: int = 5, block: int = BLOCK)
             for s in range(0, len(ids), block):
                 part = x[s : s + block]
                 codes, norms, fixes = encode(part, rot)
-                blobs = [np.ascontiguousarray(a).tobytes() for a in (ids[s : s + block], codes, norms, fixes, part)]
+                blobs = [np.ascontiguousarray(a).tobytes() for a in (ids[s : s + block], codes, norms, fixes, part.astype(kind))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n]), *(pa.array([b], pa.binary()) for b in blobs)],
                     names=["block", "ids", "codes", "norms", "fixes", "vectors"],
@@ -121,7 +140,7 @@ def build_index(vectors: DataFrame, dim: int, seed: int = 5, block: int = BLOCK)
 
 
 def query_blocks(queries: DataFrame, dim: int, n_blocks: int) -> DataFrame:
-    """Queries (vec_id, embedding) dealt by hash into blocks 0 .. n_blocks-1."""
+    """Different queries (vec_id, embedding) dealt by hash into blocks 0 .. n_blocks-1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_memory()
@@ -140,14 +159,17 @@ def query_blocks(queries: DataFrame, dim: int, n_blocks: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = EPS, seed: int = 5,
-            spread: int = 8) -> DataFrame:
+            spread: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each query, ties to the smaller vec_id.
 
     Both inputs have (vec_id, embedding); rows that are null, zero or hold null
     or non-finite components take no part, nor do those of another length than
     the valid vector of smallest vec_id.  Rows with the query's vec_id are its
-    own row.  Blocks of queries meet blocks of vectors by keys (query block,
-    share of the index), so neither side is ever broadcast or held whole.
+    own row.  Query rows that repeat vec_id and vector are one query; a vec_id
+    with several vectors is a query for each, all ranked from 1.  Every other
+    row is a candidate, repeated ones each.  Blocks of queries meet blocks of
+    vectors by keys (query block, share of the index), so neither side is ever
+    broadcast or held whole.
     """
     spark = vectors.sparkSession
 
@@ -163,10 +185,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = EP
     dim = first.d
     same = F.size("embedding") == dim
     index = materialize(build_index(valid.filter(same), dim, seed), "ann-index")
-    asked = clean(queries).filter(same)
+    kind = _kind(valid)
+    asked = clean(queries).filter(same).distinct()
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     blocks = query_blocks(asked, dim, n_blocks)
     # fragment and replicate: every index block goes to each query block once
+    if spread is None:  # tasks for each block of queries: more as the index grows, as each holds the queries
+        spread = max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count() // 8))
     width = min(n_blocks * spread, 100_000)
     wide = index.withColumn("s", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int"))
     pairs = wide.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(width, "qb", "s")
@@ -187,14 +212,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = EP
                     best, key = Best(q_ids, np.frombuffer(cell[6]).reshape(len(q_ids), dim), k, rot, eps), at
                 ids, norms, fixes = np.frombuffer(cell[0], "<i8"), np.frombuffer(cell[2]), np.frombuffer(cell[3])
                 codes = np.frombuffer(cell[1], np.uint8).reshape(len(ids), -1)
-                best.add(ids, np.frombuffer(cell[4]).reshape(len(ids), dim), codes, norms, fixes)
+                best.add(ids, np.frombuffer(cell[4], kind).reshape(len(ids), dim).astype(float), codes, norms, fixes)
         if best is not None:
             yield best.rows()
 
     near = pairs.select("qb", "s", "ids", "codes", "norms", "fixes", "vectors", "q_ids", "q").mapInArrow(
-        run, "query_id bigint, vec_id bigint, score double"
+        run, "query_id bigint, query_mark bigint, vec_id bigint, score double"
     )
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    by = Window.partitionBy("query_id", "query_mark").orderBy(F.col("score").desc(), "vec_id")
     return (
         near.withColumn("rank", F.row_number().over(by))
         .filter(F.col("rank") <= k)
