@@ -1,7 +1,8 @@
 """Near-duplicate vectors by collision-counting projections.
 
-Vectors are projected on many random lines.  Two vectors collide on a line if
-one lies in the window centred at the other.  Pairs that collide on at least a
+Vectors are projected on many random lines, and each line's projections are
+sorted.  Two vectors collide on a line if one's rank lies in the window centred
+at the other, whose bounds come from binary search.  Pairs that collide on at least a
 calibrated number of lines are verified by their cosine in double precision.
 The count's threshold is the one that a pair at the wanted cosine passes with
 ``recall`` at least, by the binomial law of its collisions.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,9 @@ LINES = 48
 WINDOW = 2.2  # half-width of a window, in deviations of a wanted pair's distance on a line
 CELL = 7.5  # width of a cell, in the same unit
 CELL_ROWS = 4000
+#: Windows that are counted at a time, and lines between two looks at which pairs are left.
+ROWS = 256
+STEP = 6
 RECALL = 0.995
 TABLE_RECALL = 0.99
 
@@ -50,8 +55,9 @@ def calibrated_count(lines: int, window: float, recall: float) -> int:
     return 0
 
 
+@lru_cache(maxsize=64)
 def plan(n: int, threshold: float, dim: int, seed: int) -> dict:
-    """Lines, cells and counts for ``n`` vectors: a pure function, so every task has the same."""
+    """Lines, cells and counts for ``n`` vectors: a pure function, so every task has the same for a dimension."""
     rng = np.random.default_rng([seed, dim])
     sd = math.sqrt(max(2 - 2 * threshold, 1e-9))  # of a wanted pair on a standard normal line
     g = max(2, round(0.8 * math.log2(max(n, 4))))
@@ -71,26 +77,73 @@ def plan(n: int, threshold: float, dim: int, seed: int) -> dict:
     }
 
 
-def cells_of(x: np.ndarray, p: dict) -> np.ndarray:
-    """The cell of each row in each table."""
-    out = np.empty((len(x), p["tables"]), np.int64)
-    for t in range(p["tables"]):
+def cells_of(x: np.ndarray, p: dict, tables: int | None = None) -> np.ndarray:
+    """The cell of each row in each table, or in the first ``tables``."""
+    tables = p["tables"] if tables is None else tables
+    out = np.empty((len(x), tables), np.int64)
+    for t in range(tables):
         at = np.floor((x @ p["cells"][t] + p["shift"][t]) / p["width"]).astype(np.int64)
         out[:, t] = (at * p["keys"][t]).sum(axis=1) + t
     return out
 
 
+class Lines:
+    """The sorted projections of some vectors on each line, for windows centred at others."""
+
+    def __init__(self, x: np.ndarray, p: dict):
+        at = x @ p["lines"]
+        order = np.argsort(at, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(at, order, axis=0)
+        # ranks and window bounds as small unsigned numbers: rank - lo < hi - lo, wrapping, is one comparison
+        self.kind = np.uint16 if len(x) < 1 << 16 else np.uint32
+        self.rank = np.empty(order.shape, self.kind, order="F")
+        np.put_along_axis(self.rank, order, np.arange(len(x), dtype=self.kind)[:, None], axis=0)
+
+    def windows(self, y: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+        """First rank and number of ranks of the window of each row of ``y`` on each line, by binary search."""
+        at, half = y @ p["lines"], p["half"]
+        lo, size = np.empty(at.shape, self.kind, order="F"), np.empty(at.shape, self.kind, order="F")
+        for j in range(at.shape[1]):
+            first = np.searchsorted(self.sorted[:, j], at[:, j] - half, side="left")
+            lo[:, j] = first
+            size[:, j] = np.searchsorted(self.sorted[:, j], at[:, j] + half, side="right") - first
+        return lo, size
+
+
+def colliding(lo: np.ndarray, size: np.ndarray, rank: np.ndarray, least: int):
+    """Yields index pairs (window, vector) that collide on ``least`` lines at least.
+
+    A pair that has missed more lines than it may is done with: lines are
+    counted for all pairs of a block of windows while many are left, and then
+    for those that are.
+    """
+    n_lines, may = rank.shape[1], rank.shape[1] - least
+    for s in range(0, len(lo), ROWS):
+        l, z = lo[s : s + ROWS], size[s : s + ROWS]
+        missed = np.zeros((len(l), len(rank)), np.uint8)
+        i = j = None
+        for a in range(0, n_lines, STEP):
+            lines = range(a, min(a + STEP, n_lines))
+            if i is None:
+                for k in lines:
+                    missed += (rank[None, :, k] - l[:, None, k]) >= z[:, None, k]
+                left = missed <= may
+                if np.count_nonzero(left) * 5 < left.size or lines.stop == n_lines:
+                    i, j = np.nonzero(left)
+                    count = missed[i, j]
+            else:
+                for k in lines:
+                    count += (rank[j, k] - l[i, k]) >= z[i, k]
+                keep = count <= may
+                i, j, count = i[keep], j[keep], count[keep]
+        yield i + s, j
+
+
 def links_between(xa, xb, table: int, p: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two sets that pass count and cosine and meet in no earlier table."""
-    la, lb = (xa @ p["lines"]).astype(np.float32), (xb @ p["lines"]).astype(np.float32)
-    ca, cb = cells_of(xa, p)[:, :table], cells_of(xb, p)[:, :table]
-    half, least, found = np.float32(p["half"]), p["least"], []
-    for s in range(0, len(xa), 256):
-        count = np.zeros((len(la[s : s + 256]), len(xb)), np.uint8)
-        for j in range(LINES):
-            count += np.abs(la[s : s + 256, j, None] - lb[None, :, j]) <= half
-        i, j = np.nonzero(count >= least)
-        i += s
+    ca, cb = cells_of(xa, p, table), cells_of(xb, p, table)
+    lines, found = Lines(xb, p), []
+    for i, j in colliding(*lines.windows(xa, p), lines.rank, p["least"]):
         if same:
             i, j = i[i < j], j[i < j]
         for a in range(0, len(i), 50_000):
@@ -134,8 +187,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
         ),
         "vec-reps",
     )
-    sizes = {r.dim: r.n for r in reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
-    plans = {d: plan(n, threshold, d, seed) for d, n in sizes.items()}
+    n_all = reps.count()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_memory()
@@ -146,7 +198,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
                 x = batch.column(3).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
                 y = x.astype(float)
                 y /= np.linalg.norm(y, axis=1)[:, None]
-                cells = cells_of(y, plans[d])
+                cells = cells_of(y, plan(n_all, threshold, int(d), seed))
                 blobs = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                 for t in range(cells.shape[1]):
                     yield pa.RecordBatch.from_arrays(
@@ -182,7 +234,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, cell_rows: int =
             a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
             if not len(a) or not len(b):
                 continue
-            i, j = links_between(x[a], x[b], t, plans[d], lo == hi)
+            i, j = links_between(x[a], x[b], t, plan(n_all, threshold, d, seed), lo == hi)
             if not len(i):
                 continue
             i, j = a[i], b[j]
