@@ -14,9 +14,12 @@ Within a region pivots make Voronoi cells by Jaccard distance.  By the triangle
 inequality a set can link into the cell of pivot q only if its distance to q is
 within its distance to its own pivot plus twice the radius; such boundary sets
 are replicated, and cells join recursively until they are small or no longer
-shrink, where all pairs are counted exactly with integers.  A region above
-``region_shingles`` is dealt into shares and each pair of shares is a task, so
-no task holds an unbounded region.
+shrink.  Sets that share nothing with any pivot are a cell of their own, with
+the sets that lie within the radius of distance 1 from all pivots.  In a last cell the sets are ordered by their distance to its pivot;
+linked sets' distances differ by the radius at most, so each block of sets meets
+the window of that width, where common shingles are counted exactly with
+integers.  A region above ``region_shingles`` is dealt into shares and each pair
+of shares is a task, so no task holds an unbounded region.
 """
 
 from __future__ import annotations
@@ -46,19 +49,23 @@ from quillon.llm.common import (
 SHINGLE = 4
 PERCENT = 85
 #: Shingles that a task may hold of one region, or of a pair of its shares.
-REGION_SHINGLES = 1_500_000
+REGION_SHINGLES = 400_000
 #: Shingles are common that occur in more texts than this, by counts of those that a buffer of
 #: ``COMMON_BUFFER`` shingles holds ``COMMON_LOCAL`` times or more; all tasks get ``MAX_COMMON`` of them at most.
 COMMON_LEAST = 40
 COMMON_LOCAL = 4
 COMMON_BUFFER = 4_000_000
 MAX_COMMON = 200_000
-#: Keys that a task packs at a time.
+#: Keys that a task packs at a time, and sets whose digests it remembers so as not to send their keys twice.
 FLUSH_KEYS = 1_000_000
-LEAF = 256
+MAX_SEEN = 500_000
+#: Sets up to which a cell is not parted by pivots again.
+LEAF = 8
 #: Sets of regions up to which their ids go to all tasks (48 bytes each), so texts stay where they are; above, texts are dealt by id.
 BROADCAST_CANDIDATES = 250_000
+#: Pivots of a cell: as the square root of its sets, within these bounds.
 PIVOTS = 8
+MAX_PIVOTS = 64
 #: Shingles counted by matrix products, and pairs counted at a time, in a leaf.
 HEAVY = 2048
 BLOCK_PAIRS = 1_000_000
@@ -196,6 +203,7 @@ class Region:
         n = len(self.size)
         self.side, self.weight, self.take = side, weight, take
         self.links, self.root = np.zeros(n), np.arange(n)
+        self.cells = self.replicas = self.skipped = 0  # cells made, boundary sets sent on, pairs that no window holds
         self._join(np.arange(n), [])
         return self.links, self.root
 
@@ -219,10 +227,10 @@ class Region:
         if len(docs) <= LEAF:
             return self._leaf(docs, homes)
         codes, owner = self.rows(docs)
-        radius = 1 - self.percent / 100
+        radius = 1 - self.percent / 100 + 1e-9
         # pivots far from each other, starting with the first set
         chosen, away, table = [0], None, []
-        for _ in range(PIVOTS):
+        for _ in range(max(PIVOTS, min(MAX_PIVOTS, int(len(docs) ** 0.5)))):
             d = self.distances(docs, int(docs[chosen[-1]]), codes, owner)
             table.append(d)
             away = d if away is None else np.minimum(away, d)
@@ -232,21 +240,33 @@ class Region:
             chosen.append(nxt)
         table = np.array(table)
         cell = np.argmin(table, axis=0)
-        window = table <= table.min(axis=0) + 2 * radius + 1e-9
-        parts = [np.flatnonzero(window[p] & (cell >= p)) for p in range(len(table))]
+        # sets without a shingle in common with any pivot are a cell before all others: what links
+        # with them lies within the radius of distance 1 from every pivot
+        rest = away >= 1
+        cell[rest] = -1
+        window = (table <= away + 2 * radius) & ~rest
+        parts = [np.flatnonzero(rest | (away >= 1 - radius))] if rest.any() else [np.zeros(0, np.int64)]
+        parts += [np.flatnonzero(window[p] & (cell >= p)) for p in range(len(table))]
         del codes, owner, table, window
-        if max(map(len, parts)) > 0.8 * len(docs):
+        if max(map(len, parts)) > 0.9 * len(docs):
             return self._leaf(docs, homes)
+        self.cells += sum(len(x) > 0 for x in parts)
+        self.replicas += sum(map(len, parts)) - len(docs)
         for p, part in enumerate(parts):
             home = np.zeros(len(self.size), bool)
-            home[docs[part[cell[part] == p]]] = True
+            home[docs[part[cell[part] == p - 1]]] = True
             if home.any():
                 self._join(docs[part], [*homes, home])
 
     def _leaf(self, docs: np.ndarray, homes: list[np.ndarray]) -> None:
-        """Counts the common shingles of all pairs, a block of rows at a time."""
-        m, side = len(docs), self.side[docs]
+        """Counts the common shingles of the pairs in each block's window of distances to the pivot."""
+        m = len(docs)
         codes, owner = self.rows(docs)
+        away = self.distances(docs, int(docs[0]), codes, owner)
+        by = np.argsort(away, kind="stable")
+        docs, away, place = docs[by], away[by], np.empty(m, np.int64)
+        place[by] = np.arange(m)
+        owner, side, radius = place[owner], self.side[docs], 1 - self.percent / 100 + 1e-9
         order = np.argsort(codes, kind="stable")
         codes, owner = codes[order], owner[order]
         cut = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True])))
@@ -267,16 +287,21 @@ class Region:
         a = 0
         while a < m:
             b = max(a + 1, int(np.searchsorted(cost, (cost[a - 1] if a else 0) + BLOCK_PAIRS, side="right")))
+            # pairs are counted once, so a window starts with its block
+            near, far = a, int(np.searchsorted(away, away[b - 1] + radius, side="right"))
+            width = far - near
+            self.skipped += (b - a) * (m - far)
             lo, hi = np.searchsorted(row, (a, b))
             g = group[lo:hi]
-            other = owner[expand(cut[g], df[g])]
-            at = np.repeat((row[lo:hi] - a) * np.int64(m), df[g]) + other
-            common = np.bincount(at, minlength=(b - a) * m).reshape(b - a, m)
+            other, at = owner[expand(cut[g], df[g])], np.repeat((row[lo:hi] - a) * np.int64(width), df[g])
+            inside = (other >= near) & (other < far)
+            common = np.bincount(at[inside] + other[inside] - near, minlength=(b - a) * width).reshape(b - a, width)
             for c in range(0, len(heavy), 512):
                 part = dense[:, c : c + 512].astype(np.float32)
-                common += np.rint(part[a:b] @ part.T).astype(np.int64)
-            total = self.size[docs[a:b], None] + self.size[docs][None, :]
+                common += np.rint(part[a:b] @ part[near:far].T).astype(np.int64)
+            total = self.size[docs[a:b], None] + self.size[docs[near:far]][None, :]
             i, j = np.nonzero((common > 0) & ((100 + self.percent) * common >= self.percent * total))
+            j += near
             up = (i + a < j) & ((side[i + a] == 0) | (side[i + a] != side[j]))
             self._found(docs[i[up] + a], docs[j[up]], homes)
             a = b
@@ -383,6 +408,8 @@ def _keys(docs: DataFrame, k: int, percent: int, ranges: int, common: np.ndarray
                 fresh = np.zeros(len(h1), bool)
                 for d, mark in enumerate(zip(h1.tolist(), h2.tolist())):
                     if mark not in seen:
+                        if len(seen) >= MAX_SEEN:  # keys sent twice change nothing
+                            seen.clear()
                         seen.add(mark)
                         fresh[d] = True
                 key, owner = signatures(shingles, bounds, percent, common)
