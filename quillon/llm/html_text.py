@@ -3,11 +3,18 @@
 A page becomes a tree in which neighbouring siblings of one label (tag and
 first class) are folded into one node, so its size follows the page's make-up
 and not its length.  Each distinct tree of a host is aligned with the host's
-reference tree (that of its smallest page_id) by simple tree matching.  A text
-at an aligned node that most of the host's different pages share is template;
-what varies is a content slot.  Menus, headers, footers, sidebars, notices,
-adverts, forms and comments, known by tag, class or role, are never content,
-and where a page marks its article only that is.
+reference tree (that of its smallest page_id) by simple tree matching.  Two
+things make an aligned node template: a text that most of the host's different
+pages have there, and, on a host of ``FEW_PAGES`` or more, texts of which most
+are also there on other pages (a menu's entries, an advert's slot, a footer),
+outside articles and but for the node that holds most of the host's text.
+What varies is a content slot.
+
+Only then, for what a template cannot show (hosts of one page, reader comments,
+parts that differ on each page), parts known by tag, class or role are left
+out, and where a page marks its article only that is kept.  A class that may
+also name an article's own subject does not count on a part that holds most of
+the page's text.
 
 Pages that are copies of each other count once, so a group of copies does not
 turn its own article into template; and a host of one page has no template.
@@ -33,8 +40,11 @@ TEMPLATE_SHARE = 0.8
 TEMPLATE_PAGES = 2
 #: A host of fewer different pages has few.
 FEW_PAGES = 10
+#: A node is template if this share of its texts are at that node on other pages too.
+SLOT_SHARE = 0.5
 #: Parts of a host's pages that are joined with its size apart.
 SHARES = 32
+#: Bounds of a page's tree: what lies deeper, or beside so many siblings, belongs to a node that is there; no text is lost.
 MAX_CHILDREN = 64
 MAX_DEPTH = 150
 
@@ -64,9 +74,13 @@ CHROME_WORDS = set(
     " complementary contentinfo search dialog".split()
 )
 HEADER_WORDS = {"header", "masthead", "banner"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S
+#: Of those, what a part of the article may be called as well.
+SUBJECT_WORDS = HEADER_WORDS | set(
+    "promo promotion notice notices alert popup modal overlay signup login share sharing social related recommended"
+    " widget toolbar copyright legal disclaimer skip search dialog complementary sponsor sponsored subscription".split()
 )
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 READ = {"class", "id", "role", "hidden", "aria-hidden"}
 PARTS = re.compile(r"[a-z]+")
@@ -74,7 +88,8 @@ PARTS = re.compile(r"[a-z]+")
 #: Entries up to which the templates go to all tasks; above, pages are dealt by host.
 BROADCAST_ENTRIES = 200_000
 
-BLOCKS = "page_id bigint, url string, host string, shape string, blocks array<struct<node:int,article:boolean,text:string>>"
+BLOCK_KIND = "array<struct<node:int,article:boolean,listed:boolean,text:string>>"
+BLOCKS = f"page_id bigint, url string, host string, shape string, blocks {BLOCK_KIND}"
 
 
 class _Node:
@@ -84,9 +99,9 @@ class _Node:
         self.ident, self.label, self.children = ident, label, []
 
 
-def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """Label of an element, and whether it is no content whatever it holds."""
-    chrome = tag in CHROME_TAGS or (tag == "header" and not in_article)
+def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, int]:
+    """Label of an element, and whether it is known as no content: 0 no, 1 by a word that may be a subject, 2 whatever it holds."""
+    chrome = 2 if tag in CHROME_TAGS or (tag == "header" and not in_article) else 0
     first = ""
     if attrs:
         for name, a, b, c in ATTRIBUTE.findall(attrs):
@@ -96,101 +111,154 @@ def _describe(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
             if name == "class":
                 first = (value.split() or [""])[0]
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                chrome = True
+                chrome = 2
             elif tag not in ("html", "body", "article", "main"):
                 words = set(PARTS.findall(value))
-                if words & CHROME_WORDS or (words & HEADER_WORDS and not in_article):
-                    chrome = True
+                if in_article:
+                    words -= HEADER_WORDS - CHROME_WORDS
+                words &= CHROME_WORDS | HEADER_WORDS
+                if words:
+                    chrome = max(chrome, 1 if words <= SUBJECT_WORDS else 2)
     return f"{tag}.{first}" if first else tag, chrome
 
 
-def parse(source: str) -> tuple[str, list[tuple[int, bool, str]]]:
-    """The folded tree, as ``label(child,child)`` text, and the page's blocks (node, in an article, text)."""
+class _Scanner:
+    """Tags of a page in order, in time linear in its length."""
+
+    def __init__(self, source: str):
+        self.source, self.end = source, len(source)
+        self.gone: set[str] = set()  # signs that do not occur again
+
+    def find(self, sign: str, at: int) -> int:
+        """Place of the next ``sign``, or -1; a sign that is not found is not looked for again."""
+        if sign in self.gone:
+            return -1
+        i = self.source.find(sign, at)
+        if i < 0:
+            self.gone.add(sign)
+        return i
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at ``at``; quoted ones do not, unless a quote stays open."""
+        i = at
+        while True:
+            m = TAG_STOP.search(self.source, i)
+            if m is None:
+                return -1
+            if m[0] == ">":
+                return m.start()
+            i = self.find(m[0], m.end()) + 1
+            if not i:
+                return self.find(">", at)
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag, comment or declaration (name None); None at the end.
+
+        A tag that the page's end cuts off goes up to there.
+        """
+        source = self.source
+        while True:
+            start = self.find("<", at)
+            if start < 0 or start + 1 >= self.end:
+                return None
+            sign = source[start + 1]
+            if sign in "!?":
+                stop = self.find("-->", start + 4) + 3 if source.startswith("<!--", start) else self.find(">", start) + 1
+                return start, (self.end if stop < 3 else stop), False, None, ""
+            closing = sign == "/"
+            m = TAG_NAME.match(source, start + 1 + closing)
+            if m is None:
+                at = start + 1
+                continue
+            stop = self.tag_end(m.end())
+            if stop < 0:
+                return start, self.end, False, None, ""
+            return start, stop + 1, closing, m[0].lower(), source[m.end() : stop]
+
+
+def parse(source: str) -> tuple[str, list[tuple[int, bool, bool, str]]]:
+    """The folded tree, as ``label(child,child)`` text, and the page's blocks (node, in an article, listed, text).
+
+    A block is listed if it lies in a part known as no content by tag, class or role.
+    """
     root = _Node(0, "")
-    n_nodes = 1
-    stack: list[tuple[str, _Node, bool, bool]] = [("", root, False, False)]  # tag, node, chrome, article
-    blocks: list[tuple[int, bool, str]] = []
-    buf: list[str] = []
-    where = (0, False)
+    n_nodes, n_parts = 1, 0
+    # tag, node, parts known as no content (outermost first; 0: whatever they hold), in an article
+    stack: list[tuple[str, _Node, tuple[int, ...], bool]] = [("", root, (), False)]
+    open_at: dict[str, list[int]] = {}  # places of a tag's open elements
+    block_at: list[int] = []
+    found: list[tuple[int, bool, tuple[int, ...], str]] = []
+    buf: dict[tuple[int, ...], list] = {}
 
     def flush() -> None:
-        text = " ".join("".join(buf).split())
+        for parts, (node, article, said) in buf.items():
+            text = " ".join("".join(said).split())
+            if text:
+                found.append((node, article, parts, text))
         buf.clear()
-        if text:
-            blocks.append((*where, text))
 
     def say(text: str) -> None:
-        nonlocal where
-        _, node, chrome, article = stack[-1]
-        if not chrome and text:
-            if not buf:
-                where = (node.ident, article)
-            buf.append(html.unescape(text) if "&" in text else text)
+        _, node, parts, article = stack[-1]
+        if text:
+            if parts not in buf:
+                buf[parts] = (node.ident, article, [])
+            buf[parts][2].append(html.unescape(text) if "&" in text else text)
+
+    def top(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
 
     def close(i: int) -> None:
         """Ends the elements from the i-th on."""
-        if any(x[0] in BLOCK for x in stack[i:]):
+        if block_at and block_at[-1] >= i:
             flush()
+        for k in range(len(stack) - 1, i - 1, -1):
+            open_at[stack[k][0]].pop()
+        while block_at and block_at[-1] >= i:
+            block_at.pop()
         del stack[i:]
 
-    at, end, lower = 0, len(source), None
+    scan, at, end, lower = _Scanner(source), 0, len(source), None
     while at < end:
-        m = TOKEN.search(source, at)
-        if m is None:
-            tail = source[at:]
-            cut = re.search(r"<[/a-zA-Z][^>]*\Z", tail)  # a tag that the page's end cuts off
-            say(tail[: cut.start()] if cut else tail)
+        hit = scan.next(at)
+        if hit is None:
+            say(source[at:])
             break
-        if m.start() > at:
-            say(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, stop, closing, tag, attrs = hit
+        if start > at:
+            say(source[at:start])
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag == "br":
                 flush()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            elif open_at.get(tag):
+                close(open_at[tag][-1])
+            elif tag in BLOCK:
+                flush()
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and block_at and stack[block_at[-1]][0] == "p":
+            close(block_at[-1])
         if tag in SIBLING:
             ends, stops = SIBLING[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in stops:
-                    break
+            if top(ends) > top(stops):
+                close(top(ends))
         if tag in BLOCK or tag == "br":
             flush()
         if tag in VOID:
             continue
-        _, parent, chrome, article = stack[-1]
-        label, own = _describe(tag, m[3], article)
+        _, parent, parts, article = stack[-1]
+        label, known = _describe(tag, attrs, article)
         if tag in RAW:
             lower = source.lower() if lower is None else lower
             if len(lower) != end:  # a letter that changes its length in lower case
-                hit = re.compile(f"</{tag}", re.I).search(source, at)
-                stop = hit.start() if hit else -1
+                m = re.compile(f"</{tag}", re.I).search(source, at)
+                stop = m.start() if m else -1
             else:
                 stop = lower.find(f"</{tag}", at)
             at = end if stop < 0 else (source.find(">", stop) + 1 or end)
             continue
-        if m[3].endswith("/") and tag not in BLOCK:
+        if attrs.endswith("/") and tag not in BLOCK:
             continue
         kids = parent.children
         node = None
@@ -204,9 +272,23 @@ def parse(source: str) -> tuple[str, list[tuple[int, bool, str]]]:
             node = _Node(n_nodes, label)
             n_nodes += 1
             kids.append(node)
-        stack.append((tag, node, chrome or own, article or tag in ("article", "main")))
+        if known and 0 not in parts:  # a part of a part that is no content whatever it holds needs no mark
+            n_parts += 1
+            parts = (*parts[-MAX_DEPTH:], n_parts) if known == 1 else (0,)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            block_at.append(len(stack))
+        stack.append((tag, node, parts, article or tag in ("article", "main")))
     flush()
-    return render(root), blocks
+    # a part known by a word that may be a subject, with most of the text, is content
+    held, total = {}, 0
+    for _, _, parts, text in found:
+        if 0 not in parts:
+            total += len(text)
+            for p in parts:
+                held[p] = held.get(p, 0) + len(text)
+    subject = {p for p, n in held.items() if 2 * n > total}
+    return render(root), [(node, article, any(p not in subject for p in parts), text) for node, article, parts, text in found]
 
 
 def render(node: _Node) -> str:
@@ -275,7 +357,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_memory()
-        kind = pa.list_(pa.struct({"node": pa.int32(), "article": pa.bool_(), "text": pa.string()}))
+        kind = pa.list_(pa.struct({"node": pa.int32(), "article": pa.bool_(), "listed": pa.bool_(), "text": pa.string()}))
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
@@ -283,7 +365,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                 for source in part.column(3):
                     shape, blocks = parse(source.as_py() or "")
                     shapes.append(shape)
-                    found.append([{"node": n, "article": a, "text": t} for n, a, t in blocks])
+                    found.append([{"node": n, "article": a, "listed": x, "text": t} for n, a, x, t in blocks])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), part.column(2), pa.array(shapes, pa.string()), pa.array(found, kind)],
                     names=["page_id", "url", "host", "shape", "blocks"],
@@ -297,8 +379,10 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, BLOCKS)
 
 
-def induce(parsed: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> tuple[DataFrame, DataFrame]:
-    """The alignment (host, shape, slots: node -> reference node) and the template (host, texts) of each host."""
+def induce(
+    parsed: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, slot_share: float = SLOT_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """The alignment (host, shape, slots: node -> reference node) and the template (host, texts, whole nodes) of each host."""
     shapes = parsed.groupBy("host", "shape").agg(F.min("page_id").alias("first_id"))
     by_host = shapes.groupBy("host").agg(
         F.min(F.struct(F.coalesce("first_id", F.lit(1 << 62)).alias("i"), F.col("shape").alias("s")))["s"].alias("ref")
@@ -316,28 +400,57 @@ def induce(parsed: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
     aligned = shapes.join(by_host, "host").select("host", "shape", "ref")
     aligned = aligned.mapInPandas(run, "host string, shape string, slots array<int>")
     # one page of each group of copies
-    body = F.xxhash64(F.col("blocks.text"))
-    main = F.array_max(F.transform("blocks", lambda b: F.struct(F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h"))))["h"]
-    seen = parsed.select("host", "shape", body.alias("body"), main.alias("main"), F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))).alias("marks"))
+    own = F.filter("blocks", lambda b: ~b["listed"])
+    hashed = F.transform(own, lambda b: F.struct(F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("h")))
+    marks = F.transform(
+        "blocks",
+        lambda b: F.struct(
+            b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"), F.length(b["text"]).alias("n"), b["article"].alias("article")
+        ),
+    )
+    seen = parsed.select(
+        "host", "shape", F.xxhash64(F.transform(own, lambda b: b["text"])).alias("body"), F.array_max(hashed)["h"].alias("main"),
+        F.array_distinct(marks).alias("marks"),
+    )
     different = seen.groupBy("host", "body").agg(F.min(F.struct("shape", "marks", "main")).alias("p"))
     sizes = seen.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     kind = F.when(F.col("size") < FEW_PAGES, F.col("p.main")).otherwise(F.col("body"))
     # a large host is dealt into shares, each with the host's size
     sizes = sizes.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
-    different = different.withColumn("share", F.pmod("body", F.lit(SHARES).cast("long"))).join(sizes, ["host", "share"]).groupBy("host", kind.alias("kind")).agg(F.min(F.struct("p.shape", "p.marks")).alias("p"))
+    different = different.withColumn("share", F.pmod("body", F.lit(SHARES).cast("long"))).join(sizes, ["host", "share"])
+    different = different.groupBy("host", kind.alias("kind")).agg(F.min(F.struct("p.shape", "p.marks")).alias("p"))
     different = different.select("host", "p.shape", "p.marks")
     totals = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least)
-    marks = different.select("host", "shape", F.explode(F.array_distinct("marks")).alias("m"))
-    marks = marks.join(aligned, ["host", "shape"])
-    marks = marks.select("host", F.get("slots", F.col("m.node")).alias("slot"), F.col("m.h").alias("h")).filter("slot >= 0")
-    counts = marks.groupBy("host", "slot", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    fixed = counts.join(totals, "host").filter(F.col("n") >= F.col("pages") * share)
-    template = fixed.groupBy("host").agg(F.collect_set(F.struct("slot", "h")).alias("fixed"))
+    placed = different.select("host", "shape", F.explode("marks").alias("m")).join(aligned, ["host", "shape"])
+    placed = placed.select(
+        "host", F.get("slots", F.col("m.node")).alias("slot"), F.col("m.h").alias("h"), F.col("m.n").alias("n"),
+        F.col("m.article").alias("article"),
+    ).filter("slot >= 0")
+    counts = placed.groupBy("host", "slot", "h").agg(
+        F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.max("article").alias("article")
+    )
+    # how much of a node's texts is also there on other pages
+    often = F.when(F.col("times") >= 2, F.col("times")).otherwise(F.lit(0))
+    nodes = counts.groupBy("host", "slot").agg(
+        F.sum("times").alias("all"), F.sum(often).alias("often"), F.sum(F.col("times") * F.col("n")).alias("chars"),
+        F.max("article").alias("article"),
+    )
+    most = nodes.groupBy("host").agg(F.max_by("slot", F.struct(F.col("chars"), -F.col("slot"))).alias("most"))
+    whole = nodes.filter(~F.col("article") & (F.col("often") >= F.col("all") * slot_share)).join(
+        totals.filter(F.col("pages") >= FEW_PAGES).select("host"), "host"
+    )
+    whole = whole.join(most, "host").filter("slot <> most").select("host", "slot", F.lit(None).cast("long").alias("h"))
+    fixed = counts.filter(F.col("times") >= least).join(totals, "host").filter(F.col("times") >= F.col("pages") * share)
+    fixed = fixed.join(whole.select("host", "slot"), ["host", "slot"], "left_anti").select("host", "slot", "h").unionByName(whole)
+    template = fixed.groupBy("host").agg(
+        F.collect_set(F.when(F.col("h").isNotNull(), F.struct("slot", "h"))).alias("fixed"),
+        F.collect_set(F.when(F.col("h").isNull(), F.col("slot"))).alias("whole"),
+    )
     return aligned, template
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page.
+    """page_id, url, text, n_chars of every page, and n_template, n_listed: characters that template and lists left out.
 
     Null or empty html gives an empty text; a page without a url belongs to
     the host of all such pages; rows that repeat are extracted each; extra
@@ -345,24 +458,30 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     parsed = materialize(page_blocks(pages), "html-blocks")
     aligned, template = induce(parsed)
+    template = materialize(template, "html-template")
     # only hosts that have a template need their pages' alignment
-    aligned = aligned.join(template, "host").select("host", "shape", "slots", "fixed")
-    size = template.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fixed")).alias("m")).first()
+    aligned = aligned.join(template, "host").select("host", "shape", "slots", "fixed", "whole")
+    size = template.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fixed") + F.size("whole")).alias("m")).first()
     if size.n * 200 + (size.m or 0) <= BROADCAST_ENTRIES:
         aligned = F.broadcast(aligned)  # checked: few hosts with a template, few texts each
     out = parsed.join(aligned, ["host", "shape"], "left")
-    varying = F.when(
-        F.col("fixed").isNull(), F.col("blocks")
-    ).otherwise(
-        F.filter(
-            "blocks",
-            lambda b: ~F.array_contains(
-                "fixed", F.struct(F.get("slots", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("h"))
-            ),
+
+    def constant(b):
+        slot = F.get("slots", b["node"])
+        return F.coalesce(
+            F.array_contains("whole", slot) | F.array_contains("fixed", F.struct(slot.alias("slot"), F.xxhash64(b["text"]).alias("h"))),
+            F.lit(False),
         )
-    )
-    out = out.withColumn("varying", varying)
-    inside = F.filter("varying", lambda b: b["article"])
-    chosen = F.when(F.exists("blocks", lambda b: b["article"]), inside).otherwise(F.col("varying"))
+
+    def length(blocks):
+        return F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+
+    varying = F.when(F.col("fixed").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~constant(b)))
+    out = out.withColumn("varying", varying).withColumn("own", F.filter("varying", lambda b: ~b["listed"]))
+    marked = F.exists("blocks", lambda b: b["article"] & ~b["listed"])
+    chosen = F.when(marked, F.filter("own", lambda b: b["article"])).otherwise(F.col("own"))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
-    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(
+        "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"),
+        (length("blocks") - length("varying")).alias("n_template"), (length("varying") - length("own")).alias("n_listed"),
+    )
