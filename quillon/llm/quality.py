@@ -171,11 +171,41 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate:
     return Model(edges, theta[:-1], float(theta[-1]))
 
 
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, folds: int = 4, steps: int = 100, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows, from positives and unlabelled rows alone.
+
+    Each fold is scored by a model of the other folds.  Above a score t lie a
+    share p of the positives and u of the unlabelled rows; u / p is at least
+    the prior, and comes near it where negatives are rare.  The score whose
+    upper bound (u + e) / (p - e) is least is taken, e being the deviation of
+    a share that a sample of that size exceeds with chance ``delta``.  Too few
+    rows give one half.
+    """
+    if len(pos) < 40 or len(unl) < 40:
+        return 0.5
+    p, u = np.empty(len(pos)), np.empty(len(unl))
+    for k in range(folds):
+        own_p, own_u = np.arange(len(pos)) % folds == k, np.arange(len(unl)) % folds == k
+        scorer = fit(pos[~own_p], unl[~own_u], 0.5, steps)
+        p[own_p], u[own_u] = scorer.score(pos[own_p]), scorer.score(unl[own_u])
+    p.sort()
+    u.sort()
+    off = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (p, u)) / 2
+    at = np.unique(p)
+    share_p = 1 - np.searchsorted(p, at, side="left") / len(p)
+    share_u = 1 - np.searchsorted(u, at, side="left") / len(u)
+    ok = share_p > 2 * off
+    if not ok.any():
+        return 0.5
+    best = np.argmin((share_u[ok] + off) / (share_p[ok] - off))
+    return float(np.clip(share_u[ok][best] / share_p[ok][best], 0.02, 0.98))
+
+
 def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on rows that are not held out: trusted positives by label, and any rows as unlabelled.
 
-    Where labels repeat a doc_id, its lowest label counts.  The class prior is
-    the labelled rows' share of positives.
+    Where labels repeat a doc_id, its lowest label counts.  Negative labels are
+    used for nothing else; the class prior is estimated from the two samples.
     """
     known = (
         labels.filter("doc_id is not null and quality is not null")
@@ -183,7 +213,6 @@ def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> M
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("quality"))
     )
-    prior = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     trusted = known.filter("quality = 1").orderBy(*order).limit(max_rows).select("doc_id")
     pos = features.join(F.broadcast(trusted), "doc_id").select("features").limit(max_rows)  # max_rows rows at most
@@ -193,7 +222,8 @@ def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> M
         rows = [r.features for r in df.collect()]
         return np.array(sorted(rows), dtype=float).reshape(len(rows), len(FEATURES))
 
-    return fit(matrix(pos), matrix(unl), 0.5 if prior is None else prior)
+    good, any_ = matrix(pos), matrix(unl)
+    return fit(good, any_, estimate_prior(good, any_))
 
 
 def score_features(features: DataFrame, model: Model) -> DataFrame:
@@ -213,7 +243,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
     Empty and null texts are scored like others; without labels or positives
-    every score is the prior.  Extra columns are ignored, rows that repeat are
+    every score is one half.  Extra columns are ignored, rows that repeat are
     scored each.
     """
     features = materialize(featurise(docs), "quality-features")
