@@ -91,6 +91,16 @@ def test_region_join_is_exact(sets, monkeypatch, leaf, heavy):
     assert links.tolist() == [sum(x in p for p in truth) for x in range(n)]
 
 
+def test_pivots_part_regions(sets, monkeypatch):
+    """With the production leaf: cells are made, boundary sets replicated, and windows leave pairs out."""
+    shingles, bounds, _, truth = sets
+    monkeypatch.setattr(J, "BLOCK_PAIRS", 50)
+    region, got = J.Region(shingles, bounds, 85), []
+    region.join(np.zeros(len(bounds) - 1, int), np.ones(len(bounds) - 1), lambda i, j: got.extend(map(tuple, np.sort(np.stack([i, j], 1), 1).tolist())))
+    assert set(got) == truth and len(got) == len(truth)
+    assert region.cells > 10 and region.replicas > 0 and region.skipped > 0
+
+
 def test_regions_of_two_sides(sets):
     shingles, bounds, ref, truth = sets
     side = np.arange(len(ref)) % 2 + 1
@@ -216,6 +226,38 @@ def test_fit_separates_what_positives_lack():
     assert (model.score(good) >= 0.3).mean() > 0.97 and (model.score(bad) < 0.3).mean() > 0.9
 
 
+def test_fit_lowers_the_non_negative_risk():
+    """The risk by its definition, one row at a time: below that of the start and of random models."""
+    rng = np.random.default_rng(5)
+    width = len(quality.FEATURES)
+    good, bad = rng.standard_normal((300, width)), rng.standard_normal((120, width)) + 2
+    pos, unl, prior = good[:150], np.concatenate((good[150:], bad)), 150 / 270
+
+    def risk(model):
+        loss = lambda g: float(np.log1p(np.exp(-g)))
+        raw = lambda row: sum(model.weights[np.searchsorted(model.edges[k], row[k], side="right") + k * quality.BINS] for k in range(width)) + model.bias
+        p, u = [raw(r) for r in pos], [raw(r) for r in unl]
+        return prior * np.mean([loss(g) for g in p]) + max(0, np.mean([loss(-g) for g in u]) - prior * np.mean([loss(-g) for g in p]))
+
+    fitted = quality.fit(pos, unl, prior)
+    least = risk(fitted)
+    assert least < 0.5 * risk(quality.Model(fitted.edges, np.zeros(width * quality.BINS), fitted.bias))
+    for _ in range(20):
+        other = quality.Model(fitted.edges, fitted.weights + rng.standard_normal(len(fitted.weights)) * 0.5, fitted.bias)
+        assert risk(other) > least - 1e-6
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
+def test_prior_comes_from_positives_and_unlabelled_rows(share):
+    rng = np.random.default_rng(int(share * 100))
+    width, n = len(quality.FEATURES), 4000
+    k = int(n * share)
+    good, bad = rng.standard_normal((2000 + k, width)), rng.standard_normal((n - k, width)) + 2.5
+    unl = rng.permutation(np.concatenate((good[2000:], bad)))
+    assert abs(quality.estimate_prior(good[:2000], unl) - share) < 0.05
+    assert quality.estimate_prior(good[:10], unl) == 0.5
+
+
 def test_fit_without_rows_is_the_prior():
     none = np.zeros((0, len(quality.FEATURES)))
     assert abs(quality.fit(none, none, 0.8).score(np.zeros((1, len(quality.FEATURES))))[0] - 0.8) < 1e-9

@@ -290,6 +290,59 @@ def test_near_duplicate_vectors(spark, vectors, cell_rows):
     assert neardup_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_at_the_threshold_are_found(spark):
+    """Pairs planted at cosines of 0.90 to 0.93, the hardest that must link: 99 % at least, and no link below 0.9."""
+    rng = np.random.default_rng(9)
+    n, dim = 3000, 64
+    a, d = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    d -= (d * a).sum(1)[:, None] * a
+    d /= np.linalg.norm(d, axis=1)[:, None]
+    c = rng.uniform(0.9, 0.93, n)[:, None]
+    x = np.concatenate((a, c * a + np.sqrt(1 - c**2) * d)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    sims = u @ u.T
+    links = [(i, j) for i, j in zip(*np.nonzero(np.triu(sims >= 0.9, 1)))]
+    rows = {r.vec_id: r for r in neardup_vectors.near_duplicates(df, 0.9).collect()}
+    assert len(links) > 2900 and 0.99 * len(links) <= sum(r.n_links for r in rows.values()) / 2 <= len(links)
+    want = components(range(2 * n), links)
+    # what is joined is linked: a component lies within a true one, and nearly all are whole
+    assert all(want[i] == want[rows[i].component_id] for i in range(2 * n))
+    assert np.mean([rows[i].component_id == want[i] for i in range(2 * n)]) >= 0.99
+
+
+@pytest.mark.parametrize("rows", [40, 700])
+def test_collisions_are_those_of_the_windows(rows):
+    rng = np.random.default_rng(rows)
+    p = neardup_vectors.plan(1000, 0.9, 16, 3)
+    x = np.repeat(rng.standard_normal((-(-rows // 3), 16)), 3, axis=0)[:rows] + rng.standard_normal((rows, 16)) * 0.1
+    y = x[::2] + rng.standard_normal((len(x[::2]), 16)) * 0.05
+    lines = neardup_vectors.Lines(x, p)
+    got = {(i, j) for a, b in neardup_vectors.colliding(*lines.windows(y, p), lines.rank, p["least"]) for i, j in zip(a, b)}
+    near = np.abs((y @ p["lines"])[:, None, :] - (x @ p["lines"])[None, :, :]) <= p["half"]
+    assert got == set(zip(*np.nonzero(near.sum(axis=2) >= p["least"]))) and len(got) >= len(y)
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(d * 10 + i, [1.0 + i * (k == 0) * 5 for k in range(d)]) for d in range(1, 40) for i in (0, 0.001)]
+    rows = [(n, v) for n, (_, v) in enumerate(rows)]
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i].component_id == i - i % 2 and got[i].n_links == 1 for i in range(len(rows)))
+
+
+def test_nearest_of_repeated_queries(spark, vectors):
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    once = [tuple(r) for r in ann.nearest(df, df.filter("vec_id in (0, 20)"), k=7).collect()]
+    twice = df.filter("vec_id in (0, 20)").unionAll(df.filter("vec_id = 0"))
+    assert sorted(tuple(r) for r in ann.nearest(df, twice, k=7).collect()) == sorted(once)
+    # a vec_id with two vectors asks twice
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id, r.score) for r in ann.nearest(two, two.filter("vec_id = 0")).collect())
+    assert got == [(1, 1, 3.0), (1, 2, 3.0), (2, 1, 1.0), (2, 2, 1.0)]
+
+
 def test_nearest(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(4)
     rows = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=7).collect()
@@ -393,7 +446,11 @@ def test_hosts_of_few_pages_have_templates(spark):
     ],
 )
 def test_attributes_are_read_by_name(source, want):
-    assert " ".join(t for _, _, t in html_text.parse(source)[1]) == want
+    assert said(source) == want
+
+
+def said(source):
+    return " ".join(t for _, _, listed, t in html_text.parse(source)[1] if not listed)
 
 
 def test_tree_matching():
@@ -402,9 +459,120 @@ def test_tree_matching():
     assert html_text.align(html_text.read_tree("0:(1:x)"), html_text.read_tree("0:(1:y)")) == {0: 0}
 
 
+def most_pairs(a, b):
+    """Brute force: the most nodes that any alignment pairs that keeps levels, labels and order."""
+    if a.label != b.label:
+        return 0
+
+    def ways(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(ways(xs[1:], ys), *(most_pairs(xs[0], ys[k]) + ways(xs[1:], ys[k + 1 :]) for k in range(len(ys))))
+
+    return 1 + ways(a.children, b.children)
+
+
+def test_tree_matching_is_the_best_alignment():
+    rng = random.Random(8)
+
+    def tree(depth):
+        nonlocal made
+        made += 1
+        return f"{made - 1}:{rng.choice('ab')}" + (f"({','.join(tree(depth - 1) for _ in range(rng.randint(1, 3)))})" if depth else "")
+
+    def nodes(node, path=()):
+        yield node.ident, (node.label, len(path))
+        for k in node.children:
+            yield from nodes(k, (*path, node))
+
+    for _ in range(60):
+        made = 0
+        a = html_text.read_tree(tree(2))
+        made = 0
+        b = html_text.read_tree(tree(2))
+        pairs = html_text.align(a, b)
+        assert len(pairs) == len(set(pairs.values())) == most_pairs(a, b)
+        of_a, of_b = dict(nodes(a)), dict(nodes(b))
+        assert all(of_a[x] == of_b[y] for x, y in pairs.items())
+
+
+def test_repeating_slots_are_template_without_any_list(spark, monkeypatch):
+    """Menus, adverts and footers whose entries come back on other pages go by the template alone."""
+    rng = random.Random(3)
+    pool = [f"entry {i}" for i in range(12)]
+    page = "<body><div class=top>{}</div><p>{}</p><div class=low>site {}</div><ul>{}</ul><p>{}</p></body>"
+    rows, want = [], {}
+    for i in range(40):
+        a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+        low, top = rng.choice(pool), rng.choice(pool)
+        rows.append((i, "http://s.example/x", page.format(top, a, low, "".join(f"<li>{rng.choice(pool)}" for _ in range(4)), b)))
+        want[i] = f"{a} {b}"
+    rows.append((99, "http://lone.example/", rows[0][2]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(df).collect()}
+    assert {i: got[i].text for i in range(40)} == want
+    assert all(got[i].n_template > 0 and got[i].n_listed == 0 for i in range(40))
+    assert got[99].n_template == 0 and want[0] != got[99].text
+
+
+def test_extraction_agrees_with_another_parser(spark):
+    """Pages whose article is known, against the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.deep, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag == "article"
+            if self.deep and tag in ("p", "h1", "li", "br"):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            self.deep -= tag == "article"
+
+        def handle_data(self, data):
+            if self.deep:
+                self.out.append(data)
+
+    rng = random.Random(2)
+    words = lambda k: " ".join(rng.choice(["é&amp;b", "&lt;x&gt;", "plain", "&#233;t&eacute;", "2 &gt; 1", "a\n b"]) for _ in range(k))
+    rows = []
+    for i in range(60):
+        body = "".join(f"<p>{words(rng.randint(1, 30))}<br>{words(3)}</p>" for _ in range(rng.randint(1, 5)))
+        article = f"<article><h1>{words(4)} {i}</h1>{body}<ul><li>{words(2)}<li>{words(2)}</ul></article>"
+        rows.append((i, f"http://h{i % 4}/{i}", f"<html><body><nav><a href='/>'>{words(3)}</a></nav><div class='ad'>{words(5)}</div>{article}<footer>{words(4)}</footer></body></html>"))
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, source in rows:
+        parser = Article()
+        parser.feed(source)
+        assert got[i] == " ".join("".join(parser.out).split())
+
+
+def test_subjects_of_an_article_are_kept():
+    long = "words that tell the story " * 20
+    assert said(f'<div class="search-results legal"><p>{long}</p></div><div class="share">no</div><div class="legal">no</div>') == long.strip()
+    assert said(f'<div class="search-page"><div class="share">no</div><p>{long}</p></div>') == long.strip()
+    # never so for comments, adverts and hidden parts
+    assert said(f'<p>short</p><section id="comments">{long}</section><div class="legal" hidden>{long}</div>') == "short"
+
+
+@pytest.mark.parametrize("source", ["<a", '<a "', "<a '\"", "<div>", "</p>", "<<", "<!--", "<li>", '<div class="search">', "<p><b>"])
+def test_pages_are_parsed_in_linear_time(source):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.parse(source * n + "</i><p></p></p>" * 500)
+        return time.perf_counter() - start
+
+    assert seconds(20_000) < 3
+
+
 def test_deep_and_broken_pages():
     shape, blocks = html_text.parse("<div>" * 5000 + "x" + "</p></span>" * 10 + "<a href='a>b'>y</a><br>z<!-- open")
-    assert " ".join(t for _, _, t in blocks).split() == ["x", "y", "z"] and len(shape) < 10_000
+    assert " ".join(t for *_, t in blocks).split() == ["x", "y", "z"] and len(shape) < 10_000
     assert html_lib.unescape("&amp;") == "&"
 
 
