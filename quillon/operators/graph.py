@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.storage import materialize
+from quillon.storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
@@ -38,9 +38,11 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
         # finished when every node points once and no target points further
         stats = nxt.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("d")).first()
         if stats.n == stats.d and nxt.join(nxt.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            cur, done = nxt, True
-            break
+            done = True
+        discard(cur)
         cur = nxt
+        if done:
+            break
     if not done:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

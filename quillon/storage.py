@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,45 @@ def scratch_dir(spark: SparkSession) -> str:
     return _UNSET.setdefault("dir", tempfile.mkdtemp(prefix="quillon-"))
 
 
+#: Removes a query's shuffle files when it ends: a written table is read from its own files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    if before is None:  # an engine without it
+        yield
+        return
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later reads survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{scratch_dir(spark)}/quillon/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialize` that nothing reads any more, as what was made of them is itself written."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that read them must be written before."""
+    _delete(spark, f"{scratch_dir(spark)}/quillon/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
