@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import expand, materialize, mix64, prefix_hash, range_hash, runs_of, steady_memory, text_chunks
+from quillon.llm.common import discard, expand, materialize, mix64, prefix_hash, range_hash, runs_of, steady_memory, text_chunks
 
 LENGTH = 400
 #: Bytes that a passage of fifty words exceeds.
@@ -488,6 +488,7 @@ def find_repeats(
     scan = materialize(scan, "repeat-scan", codec="lz4")
     shared = materialize(_shared(scan), "repeat-shared", codec="lz4")
     runs = materialize(_runs(scan).join(shared, ["h", "context"]), "repeat-runs", codec="lz4")
+    discard(scan, shared)
     # a context is read from one of its places
     once = runs.filter("kinds > 1").groupBy("h", "context", "copies", "kinds").agg(F.min(F.struct("r1", "r2", "place")).alias("m"))
     windows = F.shiftright("m.place", 16).bitwiseAND(F.lit(0xFFFF).cast("long"))
@@ -527,7 +528,9 @@ def find_repeats(
     # an anchor's only context, met twice, repeats as a whole
     whole = runs.filter("kinds = 1").select("r1", "r2", "place", F.lit(None).cast("binary").alias("spans"))
     some = runs.filter("kinds > 1").select("r1", "r2", "h", "context", "place").join(marks, ["h", "context"])
-    return whole.unionByName(some.select("r1", "r2", "place", "spans"))
+    out = materialize(whole.unionByName(some.select("r1", "r2", "place", "spans")), "repeat-marks", codec="lz4")
+    discard(runs, found)
+    return out
 
 
 def _identity() -> dict:
@@ -580,7 +583,7 @@ def remove_repeats(
         marks = find_repeats(docs, length, **options).withColumn("short", F.lit(False))
     else:
         cut_at = passage
-        fine = materialize(find_repeats(docs, passage, **options), "repeat-passages", codec="lz4")
+        fine = find_repeats(docs, passage, **options)
         marks = fine.withColumn("short", F.lit(True))
         whole = find_repeats(docs, length, within=(fine, passage), **options)
         marks = marks.unionByName(whole.withColumn("short", F.lit(False)))
