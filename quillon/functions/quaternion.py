@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.numeric import INF, is_finite
 
@@ -61,14 +64,86 @@ def chain(values, *steps) -> Column:
     return out
 
 
-def all_finite(a) -> Column:
-    return reduce(lambda s, t: s & t, [is_finite(x) for x in a])
+def staged(df: DataFrame, out: str, values, *steps, single: bool = False) -> DataFrame:
+    """Adds the column ``out``, an array (or its one value) made by ``steps`` from ``values``.
+
+    As :func:`chain`, with a projection of plain columns for each step: names
+    that are used more than once keep the optimizer from joining projections,
+    so all of it is generated code of a size in proportion.  A filter on the
+    result is pushed below the steps, formulas and all: for short chains only.
+    """
+    names: list[str] = []
+    for k, step in enumerate(steps):
+        cols = {f"_{out}{k}_{i}": v for i, v in enumerate(values)}
+        df = df.withColumns(cols)
+        names += cols
+        values = step(tuple(F.col(c) for c in cols))
+    return df.withColumn(out, values[0] if single else F.array(*values)).drop(*names)
+
+
+def unit_steps(*sizes: int, eps: float = EPS_TELEMETRY):
+    """Steps that make unit length of the quaternions or vectors of these sizes that lie end to end; the rest stays."""
+    bounds = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+
+    def lengths(v):
+        return (*v, *[norm(v[a:b]) for a, b in zip(bounds, bounds[1:])])
+
+    def scaled(v):
+        norms, out = v[len(v) - len(sizes) :], []
+        for a, b, n in zip(bounds, bounds[1:], norms):
+            out += [F.when(is_finite(n) & (n > eps), x / F.when(n != 0, n)) for x in v[a:b]]
+        return (*out, *v[bounds[-1] : len(v) - len(sizes)])
+
+    return lengths, scaled
+
+
+def _units(x: np.ndarray, eps: float) -> list:
+    """Rows of unit length as lists; None for rows that are not finite or no longer than ``eps``."""
+    with np.errstate(all="ignore"):
+        n = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(n) & (n > eps)
+        unit = x / np.where(ok, n, 1.0)[:, None]
+    return [v if good else None for v, good in zip(unit.tolist(), ok)]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _slerp_batch(aw: pd.Series, ax: pd.Series, ay: pd.Series, az: pd.Series, bw: pd.Series, bx: pd.Series, by: pd.Series, bz: pd.Series, t: pd.Series) -> pd.Series:
+    a, b, t = np.stack([aw, ax, ay, az], axis=1).astype(float), np.stack([bw, bx, by, bz], axis=1).astype(float), t.to_numpy(float)
+    with np.errstate(all="ignore"):
+        d = a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2] + a[:, 3] * b[:, 3]
+        sign, d = np.where(d < 0, -1.0, 1.0), np.abs(d)
+        theta = np.arccos(np.minimum(d, 1.0))
+        s, curved = np.sin(theta), d <= LINEAR_ABOVE
+        ka = np.where(curved, np.sin((1 - t) * theta) / s, 1 - t)
+        kb = np.where(curved, np.sin(t * theta) / s, t) * sign
+        mixed = ka[:, None] * a + kb[:, None] * b
+        mixed[~((t >= 0) & (t <= 1))] = np.nan
+    return pd.Series(_units(mixed, EPS_TELEMETRY), dtype=object)
+
+
+def slerp_array(a: Quat, b: Quat, t: Column) -> Column:
+    """:func:`slerp` as one array, computed on Arrow batches: its formula is too deep for one generated expression."""
+    return _slerp_batch(*a, *b, t)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _nlerp_batch(ax: pd.Series, ay: pd.Series, az: pd.Series, bx: pd.Series, by: pd.Series, bz: pd.Series, t: pd.Series) -> pd.Series:
+    a, b, t = np.stack([ax, ay, az], axis=1).astype(float), np.stack([bx, by, bz], axis=1).astype(float), t.to_numpy(float)
+    with np.errstate(all="ignore"):
+        mixed = (1 - t)[:, None] * a + t[:, None] * b
+        mixed[~((t >= 0) & (t <= 1))] = np.nan
+    return pd.Series(_units(mixed, EPS_RETRIEVAL), dtype=object)
+
+
+def nlerp_array(a: Vec, b: Vec, t: Column) -> Column:
+    """:func:`nlerp` of directions as one array, on Arrow batches."""
+    return _nlerp_batch(*a, *b, t)
 
 
 def normalize(a, eps: float = EPS_TELEMETRY):
     """Unit quaternion or vector; null if not finite or no longer than ``eps``."""
     n = norm(a)
-    ok = all_finite(a) & (n > eps) & is_finite(n)
+    ok = is_finite(n) & (n > eps)  # a length is finite only if all parts are
     return tuple(F.when(ok, x / F.when(n != 0, n)) for x in a)
 
 
@@ -98,11 +173,15 @@ def relative(a: Quat, b: Quat) -> Quat:
 
 
 def angle_degrees(a: Quat, b: Quat) -> Column:
-    """Angle of the rotation between a and b; infinite (not null) if either is invalid."""
-    ua, ub = normalize(a), normalize(b)
-    d = F.abs(dot(ua, ub))
-    # least() passes over nulls, so an invalid side is asked for
-    return F.when(d.isNotNull(), F.degrees(2 * F.acos(F.least(d, F.lit(1.0))))).otherwise(F.lit(INF))
+    """Angle of the rotation between a and b; infinite (not null) if either is invalid.
+
+    The cosine is divided by both lengths, not taken of two unit quaternions:
+    that formula is an eighth of the size.
+    """
+    na, nb = norm(a), norm(b)
+    ok = is_finite(na) & (na > EPS_TELEMETRY) & is_finite(nb) & (nb > EPS_TELEMETRY)
+    d = F.abs(dot(a, b)) / F.when(ok, na * nb)
+    return F.when(ok, F.degrees(2 * F.acos(F.least(d, F.lit(1.0))))).otherwise(F.lit(INF))
 
 
 def slerp(a: Quat, b: Quat, t: Column) -> Quat:

@@ -22,6 +22,42 @@ def last_per_timestamp(samples: DataFrame, by: list[str], ts: str, order: str, f
     return samples.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 
 
+def with_previous(
+    rows: DataFrame, by: list[str], order: str, values: dict[str, Column], bucket: float, known: bool = False
+) -> DataFrame:
+    """Adds each value of the row before in order, or with ``known`` the last one before that is not null.
+
+    Rows are dealt by source and bucket of ``order``; the first of a bucket
+    takes its value from a table of one row for each source and bucket.
+    """
+    key = [*by, "_b"]
+    held = {f"_v_{n}": F.when(c.isNotNull(), F.struct(c.alias("v"))) if known else F.struct(c.alias("v")) for n, c in values.items()}
+    rows = rows.withColumn("_b", F.floor(F.col(order) / bucket)).withColumns(held)
+    inside = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({f"_p_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
+    edge = rows.groupBy(*key).agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values])
+    behind = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.filter("_b is not null").select(*key, *[F.last(f"_e_{n}", ignorenulls=True).over(behind).alias(f"_e_{n}") for n in values])
+    out = own.join(edge, key, "left")
+    out = out.withColumns({n: F.coalesce(f"_p_{n}", f"_e_{n}")["v"] for n in values})
+    return out.drop("_b", *[f"_{k}_{n}" for k in "vpe" for n in values])
+
+
+def running_total(rows: DataFrame, by: list[str], order: str, value: Column, out: str, bucket: float, whole: str | None = None) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row in order, and the source's sum as ``whole``; dealt as :func:`with_previous`."""
+    key = [*by, "_b"]
+    rows = rows.withColumns({"_b": F.floor(F.col(order) / bucket), "_n": value})
+    inside = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.groupBy(*key).agg(F.sum("_n").alias("_s"))
+    edge = edge.select(*key, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_s").over(Window.partitionBy(*by)).alias("_all"))
+    got = rows.withColumn(out, F.sum("_n").over(inside)).join(edge, key, "left")
+    got = got.withColumn(out, F.col(out) + F.coalesce("_s0", F.lit(0)))
+    if whole is not None:
+        got = got.withColumn(whole, F.col("_all"))
+    return got.drop("_b", "_n", "_s0", "_all")
+
+
 def bracket(
     samples: DataFrame, probes: DataFrame, by: list[str], ts: str, order: str, value: list[str],
     bucket_ms: float = BUCKET_MS,
@@ -88,14 +124,12 @@ def attitude_at(samples: DataFrame, probes: DataFrame, by: list[str], ts: str =
     needs samples on both sides, no further apart than ``max_gap_ms``.
     Samples without a valid quaternion are left out first.
     """
-    unit = Q.chain(Q.of(q), Q.normalize)
-    valid = samples.withColumn(q, unit).filter(F.get(F.col(q), F.lit(0)).isNotNull())
+    valid = Q.staged(samples, q, Q.of(q), *Q.unit_steps(4)).filter(F.get(F.col(q), F.lit(0)).isNotNull())
     out = bracket(valid, probes, by, ts, order, [q])
     exact, gap, t = _fraction(ts)
-    sides = (*Q.of(F.col(f"before.{q}")), *Q.of(F.col(f"after.{q}")), t)
     near = F.lit(True) if max_gap_ms is None else gap <= max_gap_ms
-    out = out.withColumn("_mixed", Q.chain(sides, lambda v: Q.slerp(v[:4], v[4:8], v[8])))
-    inside = F.when(near & F.get("_mixed", F.lit(0)).isNotNull(), F.col("_mixed"))
+    out = out.withColumn("_mixed", Q.slerp_array(Q.of(F.col(f"before.{q}")), Q.of(F.col(f"after.{q}")), t))
+    inside = F.when(near, F.col("_mixed"))
     return out.withColumn(q, F.when(exact, F.col(f"before.{q}")).otherwise(inside)).drop("before", "after", "_mixed")
 
 
@@ -104,9 +138,8 @@ def direction_at(samples: DataFrame, probes: DataFrame, by: list[str], ts: str =
     """As :func:`attitude_at` for directions, interpolated linearly and made unit length."""
     out = bracket(samples.filter(F.col(v).isNotNull()), probes, by, ts, order, [v])
     exact, gap, t = _fraction(ts)
-    sides = (*Q.of(F.col(f"before.{v}"), 3), *Q.of(F.col(f"after.{v}"), 3), t)
-    out = out.withColumn("_mixed", Q.chain(sides, lambda u: Q.nlerp(u[:3], u[3:6], u[6])))
-    inside = F.when((gap <= max_gap_ms) & F.get("_mixed", F.lit(0)).isNotNull(), F.col("_mixed"))
+    out = out.withColumn("_mixed", Q.nlerp_array(Q.of(F.col(f"before.{v}"), 3), Q.of(F.col(f"after.{v}"), 3), t))
+    inside = F.when(gap <= max_gap_ms, F.col("_mixed"))
     return out.withColumn(v, F.when(exact, F.col(f"before.{v}")).otherwise(inside)).drop("before", "after", "_mixed")
 
 
@@ -159,5 +192,5 @@ def orientation_priors(frames: DataFrame, samples: DataFrame, by: list[str], off
     """Frames with the calibrated attitude at their time plus the offset; frames without one are dropped."""
     probes = frames.withColumn("frame_ts", F.col("ts")).withColumn("ts", F.col("ts") + offset_ms)
     out = attitude_at(samples, probes, by, max_gap_ms=max_gap_ms).filter(F.col("q").isNotNull())
-    turned = Q.chain(Q.of("q"), lambda q: Q.calibrated(Q.lit(*mount), q, inverted), Q.normalize)
-    return out.withColumn("q", turned).withColumn("ts", F.col("frame_ts")).drop("frame_ts")
+    out = Q.staged(out, "q", Q.of("q"), lambda q: Q.calibrated(Q.lit(*mount), q, inverted), *Q.unit_steps(4))
+    return out.withColumn("ts", F.col("frame_ts")).drop("frame_ts")

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import quaternion as Q
 from quillon.functions.numeric import is_finite
+from quillon.operators import asof
+from quillon.operators.statistics import exact_ranks
 
+#: Spans of time, and of source order, that a task holds of one source at a time.
+BUCKET_MS = 86_400_000.0
+BUCKET_ROWS = 65_536
 #: Fixed values of the inertial rules.
 GAP_WARNING_MS = 100.0
 GAP_LIMIT_MS = 2000.0
@@ -25,15 +30,11 @@ JUMP_DEGREES = 90.0
 
 def angular_speed(samples: DataFrame, by: list[str], ts: str = "ts", q: str = "q") -> DataFrame:
     """Angle and speed between consecutive samples, stamped at the middle; steps of no time are skipped."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    prev_t, prev_q = F.lag(ts).over(w), F.lag(q).over(w)
-    out = samples.withColumns({"_t": prev_t, "_q": prev_q})
+    out = asof.with_previous(samples, by, ts, {"_t": F.col(ts), "_q": F.col(q)}, BUCKET_MS)
     dt = F.col(ts) - F.col("_t")
-    out = out.filter(dt > Q.EPS_TELEMETRY)
-    angle = Q.angle_degrees(Q.of("_q"), Q.of(q))
-    return out.select(
-        *by, ((F.col("_t") + F.col(ts)) * 0.5).alias("ts"), angle.alias("angle_deg"), (angle * 1000.0 / dt).alias("speed_dps")
-    )
+    out = out.filter(dt > Q.EPS_TELEMETRY).withColumn("angle_deg", Q.angle_degrees(Q.of("_q"), Q.of(q)))
+    speed = F.col("angle_deg") * 1000.0 / dt
+    return out.select(*by, ((F.col("_t") + F.col(ts)) * 0.5).alias("ts"), "angle_deg", speed.alias("speed_dps"))
 
 
 def excitation(steps: DataFrame, by: list[str]) -> DataFrame:
@@ -46,15 +47,12 @@ def attitude_diagnostics(samples: DataFrame, by: list[str], ts: str = "ts", orde
     A time is compared with the last finite one before it, an attitude with the
     last valid one.
     """
-    unit = Q.normalize(Q.of(q))
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = samples.withColumn("_t", F.when(is_finite(ts), F.col(ts).cast("double")))
-    rows = rows.withColumn("_u", F.when(F.col("_t").isNotNull() & unit[0].isNotNull(), Q.pack(unit)))
-    rows = rows.withColumns(
-        {"_pt": F.last("_t", ignorenulls=True).over(w), "_pu": F.last("_u", ignorenulls=True).over(w)}
-    )
-    step = F.when(F.col("_u").isNotNull() & F.col("_pu").isNotNull(), Q.angle_degrees(Q.of("_u"), Q.of("_pu")))
-    rows = rows.withColumn("_step", step)
+    rows = Q.staged(rows, "_u", Q.of(q), *Q.unit_steps(4))
+    rows = rows.withColumn("_u", F.when(F.col("_t").isNotNull() & F.get("_u", F.lit(0)).isNotNull(), F.col("_u")))
+    rows = asof.with_previous(rows, by, order, {"_pt": F.col("_t"), "_pu": F.col("_u")}, BUCKET_ROWS, known=True)
+    both = F.col("_u").isNotNull() & F.col("_pu").isNotNull()
+    rows = rows.withColumn("_step", F.when(both, Q.angle_degrees(Q.of("_u"), Q.of("_pu"))))
     valid = F.col("_u").isNotNull()
     out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
@@ -75,11 +73,9 @@ def attitude_diagnostics(samples: DataFrame, by: list[str], ts: str = "ts", orde
 
 def gap_segments(samples: DataFrame, by: list[str], ts: str, gap_ms: float = GAP_WARNING_MS) -> DataFrame:
     """Adds ``segment``: its number grows where the step to the sample before is above the gap."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    new = F.when(F.col(ts) - F.lag(ts).over(w) > gap_ms, 1).otherwise(0)
-    return samples.withColumn("_new", new).withColumn(
-        "segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).drop("_new")
+    rows = asof.with_previous(samples, by, ts, {"_before": F.col(ts)}, BUCKET_MS)
+    new = F.when(F.col(ts) - F.col("_before") > gap_ms, 1).otherwise(0)
+    return asof.running_total(rows, by, ts, new, "segment", BUCKET_MS).drop("_before")
 
 
 def sampling_grid(ranges: DataFrame, by: list[str], most: int = 100_001) -> DataFrame:
@@ -98,15 +94,14 @@ def sampling_grid(ranges: DataFrame, by: list[str], most: int = 100_001) -> Data
 
 def every_nth(samples: DataFrame, by: list[str], ts: str, most: int) -> DataFrame:
     """Each n-th sample, n = count div ``most`` (at least 1), from the first."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    n = F.greatest(F.call_function("div", F.count(F.lit(1)).over(Window.partitionBy(*by)), F.lit(most).cast("long")), F.lit(1))
-    return samples.withColumns({"_i": F.row_number().over(w) - 1, "_n": n}).filter("_i % _n = 0").drop("_i", "_n")
+    rows = asof.running_total(samples, by, ts, F.lit(1).cast("long"), "_i", BUCKET_MS, whole="_count")
+    n = F.greatest(F.call_function("div", F.col("_count"), F.lit(most).cast("long")), F.lit(1))
+    return rows.filter((F.col("_i") - 1) % n == 0).drop("_i", "_count")
 
 
-def upper_median(values, least: int = MIN_SAMPLES):
-    """sorted[n div 2] of a collected column, null below ``least`` values."""
-    array = F.array_sort(F.collect_list(values))
-    return F.when(F.size(array) >= least, F.get(array, F.floor(F.size(array) / 2).cast("int")))
+def upper_median(rows: DataFrame, by: list[str], value: str, least: int = MIN_SAMPLES) -> DataFrame:
+    """sorted[n div 2] of each group, null below ``least`` values."""
+    return exact_ranks(rows, by, {value: F.col(value)}, upper_least=least).select(*by, F.col(f"{value}_upper").alias(value))
 
 
 # ------------------------------------------------------------ ordered folds

@@ -69,8 +69,8 @@ def prefix_match(files: DataFrame, rules: DataFrame, name: str, prefix: str) ->
     an equi-join on the name's first characters.
     """
     sized = rules.withColumn("_len", F.length(prefix))
-    # a file has a row for each length; the lengths are as few as the rules' prefixes differ in size
-    lengths = [r[0] for r in sized.select("_len").distinct().limit(1000).collect()]
+    # a file has a row for each length; the lengths are no more than the longest prefix has characters
+    lengths = [r[0] for r in sized.select("_len").distinct().collect()]
     if not lengths:
         return files.join(rules, F.lit(False), "left")
     head = files.withColumn("_len", F.explode(F.array(*[F.lit(n) for n in lengths])))

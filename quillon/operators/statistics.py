@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import quaternion as Q
@@ -15,6 +15,41 @@ def finite_median(x) -> Column:
     return F.median(finite(x))
 
 
+def exact_ranks(rows: DataFrame, by: list[str], values: dict[str, Column], upper_least: int = 1) -> DataFrame:
+    """``name`` (median) and ``name_upper`` (sorted[n div 2], null below ``upper_least`` values) of each group.
+
+    Nulls are left out; a group has a row if any value has.  No task holds a
+    group: equal values are counted first, in buckets of about one percent of a
+    value, the buckets' sums tell in which one a rank lies, and only that one
+    is put in order.
+    """
+    pairs = F.array(*[F.struct(F.lit(n).alias("n"), c.cast("double").alias("x")) for n, c in values.items()])
+    long = rows.select(*by, F.explode(pairs).alias("_p")).select(*by, F.col("_p.n").alias("_name"), F.col("_p.x").alias("_x"))
+    size = F.floor(F.log2(F.abs("_x")) * 64) + 200_000
+    bucket = F.when(F.col("_x") > 0, size).when(F.col("_x") < 0, -size).when(F.isnan("_x"), F.lit(1 << 40)).otherwise(F.lit(0))
+    each = long.filter("_x is not null").withColumn("_b", bucket).groupBy(*by, "_name", "_b", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    key = [*by, "_name"]
+    sums = each.groupBy(*key, "_b").agg(F.sum("_n").alias("_m"))
+    up = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumns({"_to": F.sum("_m").over(up), "_all": F.sum("_m").over(Window.partitionBy(*key))})
+    half = lambda n: F.call_function("div", n, F.lit(2).cast("long"))
+    low, high = half(F.col("_all") - 1), half(F.col("_all"))
+    sums = sums.withColumns({"_low": low, "_high": high, "_before": F.col("_to") - F.col("_m")})
+    holds = lambda r: (F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_to"))
+    chosen = sums.filter(holds("_low") | holds("_high")).select(*key, "_b", "_before", "_low", "_high", "_all")
+    inside = Window.partitionBy(*key, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = each.join(chosen, [*key, "_b"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    start = F.col("_end") - F.col("_n")
+    pick = lambda r: F.max(F.when((F.col(r) >= start) & (F.col(r) < F.col("_end")), F.col("_x")))
+    out = at.groupBy(*key).agg(pick("_low").alias("_l"), pick("_high").alias("_h"), F.max("_all").alias("_all"))
+    cols = []
+    for n in values:
+        own = F.col("_name") == n
+        cols.append(F.max(F.when(own, (F.col("_l") + F.col("_h")) / 2)).alias(n))
+        cols.append(F.max(F.when(own & (F.col("_all") >= upper_least), F.col("_h"))).alias(f"{n}_upper"))
+    return out.groupBy(*by).agg(*cols)
+
+
 def pearson(x, y) -> Column:
     """Correlation of pairs in which both are known; null below two pairs or without variance; held to -1 .. 1."""
     x, y = col(x).cast("double"), col(y).cast("double")
@@ -136,11 +171,9 @@ def model_quality(images: DataFrame, points: DataFrame, components: DataFrame, b
     is 0 without images.
     """
     counts = images.groupBy(*by).agg(F.count(F.lit(1)).alias("image_count"))
-    at = points.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("point_count"),
-        F.median("track_length").alias("median_track_length"),
-        finite_median("err").alias("median_error"),
-    )
+    middle = exact_ranks(points, by, {"median_track_length": F.col("track_length"), "median_error": finite("err")})
+    at = points.groupBy(*by).agg(F.count(F.lit(1)).alias("point_count"))
+    at = at.join(middle.select(*by, "median_track_length", "median_error"), by, "left")
     each = components.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
     graph = each.groupBy(*by).agg(F.count(F.lit(1)).alias("component_count"), F.max("n").alias("largest_component"))
     out = counts.join(at, by, "left").join(graph, by, "left").fillna(0, ["point_count", "component_count"])

@@ -263,7 +263,7 @@ def gap_segments(t):
     "W11",
     f"""with {EV}, r as (select user_id, min(ms) as lo, max(ms) as hi from ev group by 1),
     n as (select *, least(floor((hi - lo) / 1000.0), 100000) as n from r)
-    select user_id, cast(least(n, 50) + 1 as bigint) as points, round(lo, 3) as first_ms from n""",
+    select user_id, cast(least(ceil((hi - lo) / 1000.0), 100000) + 1 as bigint) as points, round(lo, 3) as first_ms from n""",
 )
 def sampling_grid(t):
     ranges = t.ev.groupBy("user_id").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"))
@@ -288,7 +288,7 @@ def stride_subsample(t):
     select user_id, case when len(v) >= 16 then v[len(v) // 2 + 1] end as value from s""",
 )
 def upper_median(t):
-    return t.ev.groupBy("user_id").agg(motion.upper_median("value").alias("value"))
+    return motion.upper_median(t.ev, ["user_id"], "value")
 
 
 @query(

@@ -96,6 +96,9 @@ def has_option(lines: DataFrame, option: str, negative: str | None = None, value
 
 # --------------------------------------------------------------------- sinks
 
+#: Rows of a comparison, each a column of its table.
+MOST_COLUMNS = 1000
+
 
 def write_document(df: DataFrame, path: str) -> None:
     """A report as one JSON document a row; the writer's commit makes it appear whole or not at all."""
@@ -103,8 +106,13 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, label: str, metrics: list[str]) -> str:
-    """A comparison of a few rows as a table with a column for each; a missing value is a dash."""
-    rows = df.select(label, *metrics).orderBy(label).limit(100).collect()
+    """A comparison of a few rows as a table with a column for each; a missing value is a dash.
+
+    More than ``MOST_COLUMNS`` rows are an error, not a shorter table.
+    """
+    rows = df.select(label, *metrics).orderBy(label).limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"a comparison has {MOST_COLUMNS} rows at most")
     lines = ["| metric | " + " | ".join(str(r[label]) for r in rows) + " |", "| --- |" + " --- |" * len(rows)]
     for m in metrics:
         cells = ["-" if r[m] is None else f"{r[m]:g}" if isinstance(r[m], float) else str(r[m]) for r in rows]
