@@ -215,3 +215,41 @@ def choose_seed(components: DataFrame, by: list[str], least: int = 3) -> DataFra
 def continues(components, complete, expected) -> Column:
     """Inferred from documents: whether a fragmented start below 90 percent coverage gets another run."""
     return (col(components) > 1) & (coverage_ratio(complete, expected) < 0.9)
+
+
+def fixed_rotation_issues(common: dict[str, Column], gravity: Column | None = None, coverage: Column | None = None,
+                          manifest: Column | None = None, handshake: Column | None = None) -> Column:
+    """What a run with fixed rotations lacks: common needs, then those of the gravity or of the external solver.
+
+    With ``coverage`` the gravity solver is meant, which reads no manifest;
+    with ``handshake`` (an issue, null if all is well) the external one.
+    """
+    pairs = [(~F.coalesce(ok, F.lit(False)), name) for name, ok in common.items()]
+    if coverage is not None:
+        pairs.append((~F.coalesce(gravity, F.lit(False)), "gravity"))
+        pairs.append((~F.coalesce(is_finite(coverage) & coverage.between(MIN_COVERAGE, 1.0), F.lit(False)), "gravity coverage"))
+    else:
+        pairs.append((~F.coalesce(manifest, F.lit(False)), "manifest"))
+        pairs.append((handshake.isNotNull(), handshake))
+    return F.array_compact(F.array(*[F.when(when, F.lit(name) if isinstance(name, str) else name) for when, name in pairs]))
+
+
+MIN_COVERAGE = 0.8
+#: What an external solver must say that it supports.
+SUPPORTS = ("OrientationPriors", "WxyzHamilton", "RigFrames", "FixedRotation")
+
+
+def capability_issue(document: Column, protocol: str, manifest_format: str, stock: tuple[str, ...]) -> Column:
+    """The first thing wrong with a solver's answer, null if it can be used."""
+    read = lambda name: F.get_json_object(document, f"$.{name}")
+    checks = [
+        (read("protocol").isNull() | (read("protocol") != protocol), "protocol"),
+        (read("manifestFormat").isNull() | (read("manifestFormat") != manifest_format), "manifest format"),
+        (F.trim(F.coalesce(read("executableVersion"), F.lit(""))) == "", "version"),
+        (F.lower(F.coalesce(read("backend"), F.lit(""))).isin(*stock), "backend"),
+        *[(~F.coalesce(read(f"supports{n}") == "true", F.lit(False)), n) for n in SUPPORTS],
+    ]
+    out = F.lit(None).cast("string")
+    for when, name in reversed(checks):
+        out = F.when(when, F.lit(name)).otherwise(out)
+    return out

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.numeric import is_finite
+
 PROXY = 32
 DESCRIPTOR = 32
 
@@ -225,3 +227,48 @@ def tile_means(pixels: DataFrame, by: list[str], tile: int) -> DataFrame:
     at = [F.floor(F.col(c) / tile).alias(f"tile_{c}") for c in "xy"]
     mean = F.call_function("div", F.sum("value").cast("long"), F.count(F.lit(1)))
     return pixels.groupBy(*by, *at).agg(mean.alias("mean"))
+
+
+def class_ids(names: list[str], targets: list[str]) -> list[int]:
+    """Numbers of the classes that are asked for by name; none, not all, if no name is known."""
+    wanted = {t.strip().lower() for t in targets} - {""}
+    return [i for i, n in enumerate(names) if n in wanted]
+
+
+def decode_detections(rows: DataFrame, names: list[str], targets: list[str], confidence: float) -> DataFrame:
+    """Rows with class_id, score and corner box of the best class that is asked for (the first of equals).
+
+    ``box`` is centre and size, ``scores`` a score for each class; rows whose
+    box is not finite or has no area, or whose score is too low, are dropped.
+    """
+    ids = class_ids(names, targets)
+    if not ids:
+        none = rows.limit(0).withColumns({"class_id": F.lit(0), "score": F.lit(0.0)})
+        return none
+    best = F.lit(None).cast("struct<score:double,class_id:int>")
+    for i in ids:
+        score = F.get("scores", F.lit(i)).cast("double")
+        own = F.struct(score.alias("score"), F.lit(i).alias("class_id"))
+        best = F.when(~F.isnan(score) & (best.isNull() | (score > best["score"])), own).otherwise(best)
+    x, y, w, h = (F.get("box", F.lit(i)) for i in range(4))
+    ok = F.forall("box", is_finite) & (F.size("box") == 4) & (w > 0) & (h > 0)
+    out = rows.withColumn("_best", best).filter(ok & is_finite(F.col("_best.score")) & (F.col("_best.score") >= confidence))
+    corners = F.array(x - w / 2, y - h / 2, x + w / 2, y + h / 2)
+    return out.withColumns({"class_id": F.col("_best.class_id"), "score": F.col("_best.score"), "box": corners}).drop("_best")
+
+
+def no_mask(x: np.ndarray) -> float:
+    """An engine that masks nothing."""
+    return 0.0
+
+
+def threshold_mask(x: np.ndarray, above: int = 127) -> float:
+    """An engine that masks what is bright: its number of pixels."""
+    return float((x > above).sum())
+
+
+def limited_size(width, height, limit: int = 512):
+    """As :func:`resize_limit`, of columns."""
+    longest = F.greatest(width, height)
+    fit = lambda n: F.when(longest <= limit, n).otherwise(F.greatest(F.lit(1), F.round(n * F.lit(float(limit)) / longest).cast("int")))
+    return fit(width), fit(height)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillon.functions.numeric import coverage_ratio
+from quillon.functions.strings import base_name
 
 
 def in_both(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,3 +172,34 @@ def unique_ignoring_case(rows: DataFrame, by: list[str], value: str, order: str)
     """The first of each value, whatever its case, in order."""
     w = Window.partitionBy(*by, F.lower(F.trim(value))).orderBy(order)
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def marker(gravity: DataFrame, focal: DataFrame) -> DataFrame:
+    """One row of two reports of one row each, and whether both wrote something."""
+    both = gravity.join(focal)  # one row with one row
+    return both.withColumn("complete", (F.col("gravity_rows") > 0) & (F.col("focal_rows") > 0))
+
+
+def project_state(events: DataFrame, by: list[str], order: str, status: str) -> DataFrame:
+    """Each project's first and last event, its last status, and the number of events."""
+    return events.groupBy(*by).agg(
+        F.min(order).alias("created"), F.max(order).alias("updated"), F.max_by(status, order).alias("status"), F.count(F.lit(1)).alias("revisions")
+    )
+
+
+def fingerprints(inputs: DataFrame, by: list[str], order: str, part: Column, settings: str) -> DataFrame:
+    """A digest of the settings and of each group's inputs in order."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p"))))
+    said = F.concat(F.lit(f"{settings}|"), F.array_join(F.transform(parts, lambda e: e["p"]), ","))
+    return inputs.groupBy(*by).agg(F.sha2(said, 256).alias("fingerprint"))
+
+
+def reusable(now: DataFrame, before: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``reused``: whether the earlier run had the same fingerprint."""
+    old = before.select(*by, F.col("fingerprint").alias("_f"))
+    return now.join(old, by, "left").withColumn("reused", F.coalesce(F.col("_f") == F.col("fingerprint"), F.lit(False))).drop("_f")
+
+
+def selected(rows: DataFrame, paths: list[str], flag: str = "selected") -> DataFrame:
+    """The selected rows, with the base names of their paths."""
+    return rows.filter(F.coalesce(F.col(flag), F.lit(False))).withColumns({p: base_name(p) for p in paths})

@@ -149,14 +149,13 @@ def prior_upsert(t):
 
 @query(
     "flag_update",
-    "D3 D4 D8",
+    "D3",
     """select p_partkey, case when p_partkey in (select l_partkey from lineitem where l_quantity > 49) then 1 else p_size end as flag from part""",
 )
 def flag_update(t):
     accepted = t.lineitem.filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     target = t.part.select("p_partkey", F.col("p_size").alias("flag"))
-    (none,) = relational.emptied(target)
-    return relational.set_flag(target, accepted, "p_partkey", "flag").unionByName(none)
+    return relational.set_flag(target, accepted, "p_partkey", "flag")
 
 
 @query(
@@ -217,7 +216,7 @@ def robust_medians(t):
 
 @query(
     "model_quality",
-    "A2 G1 G3 D7",
+    "A2 G1 G3",
     """with recursive m as (select distinct l_orderkey as p, l_suppkey as i from lineitem),
     f as (select p, min(i) as a from m group by p), e as (select distinct f.a, m.i as b from m join f using (p) where m.i <> f.a),
     both_ways as (select a, b from e union select b, a from e),
@@ -421,7 +420,7 @@ def view_overlap(t):
 
 @query(
     "orientation_gate",
-    "P10 P11 P12 D6",
+    "P10 P11 P12",
     f"""with {EV}, p as (select user_id, event_id, ms, event_id % 53 = 0 as bad, (k % 60) / 10.0 as res, value from ev where event_type = 'view'),
     c as (select e.user_id, count(*) as expected, count_if(exists (select 1 from p where p.user_id = e.user_id and abs(p.ms - e.ms) <= 5000000.0)) as covered
           from ev e where event_type = 'click' group by 1),
@@ -499,7 +498,7 @@ def remaining_time(t):
 
 @query(
     "box_overlap",
-    "Q18 Q19 P19 P20",
+    "Q18",
     f"""with {EV}, b as (select event_id, value as x0, k::double as y0, value + 20.0 as x1, k + 30.0 as y1, lag(value) over (order by event_id) as px, lag(k) over (order by event_id) as py from ev),
     i as (select event_id, greatest(least(x1, px + 20.0) - greatest(x0, px), 0) * greatest(least(y1, py + 30.0) - greatest(y0, py), 0) as c from b where px is not null)
     select event_id, round(c / (1200.0 - c), 6) as iou from i""",
@@ -515,7 +514,7 @@ def box_overlap(t):
     return both.select("event_id", r6(F.when(union > 0, common / union).otherwise(0.0)).alias("iou"))
 
 
-@query("non_max_suppression", "O5 P19 P20 X1")
+@query("non_max_suppression", "O5")
 def non_max_suppression(t):
     box = F.array("value", F.col("k").cast("double"), F.col("value") + 20.0, F.col("k") + 30.0)
     d = t.ev.select(F.col("user_id").alias("image"), F.col("event_id").alias("pos"), box.alias("box"), (F.col("value") % 1).alias("score"), (F.col("k") % 3).alias("class_id"))
@@ -540,7 +539,7 @@ def raster_sharpness(t):
     return raster.map_frames(frames, raster.sharpness, "sharpness", "double").select("vec_id", r6("sharpness").alias("sharpness"))
 
 
-@query("raster_descriptor", "I3 I5 I6 Q16")
+@query("raster_descriptor", "I5 I6 Q16")
 def raster_descriptor(t):
     byte = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor(clamp((x + 1) * 127, 0.0, 255.0)).cast("long")), 2, "0"))
     frames = t.embeddings.select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.concat_ws("", byte)).alias("data"))
@@ -691,7 +690,7 @@ def comparison_rows(t):
 
 @query(
     "finite_projection",
-    "P1 P2 P3",
+    "P1 P3",
     f"""with {EV} select event_id, case when k % 7 = 0 then null else value end as x from ev""",
 )
 def finite_projection(t):

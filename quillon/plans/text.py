@@ -14,7 +14,7 @@ from quillon.sources import files, text_model
 
 @query(
     "name_rules",
-    "STR1 STR2 STR3 STR4 STR15 STR16 S14 S15 S16",
+    "STR1 STR2 STR3 STR4 STR15 STR16",
     """with f as (select p_partkey, replace(p_name, ' ', '/') || '_' || case when p_partkey % 5 = 0 then 'x' else lpad(p_partkey::varchar, 8, '0') end as stem,
         case p_partkey % 4 when 0 then '.JPG' when 1 then '.png' when 2 then '.txt' else '.webp' end as ext from part)
     select p_partkey, string_split(stem, '/')[-1] || ext as base, case when p_partkey % 5 <> 0 then p_partkey end as seq, ext <> '.txt' as is_image, ext in ('.JPG', '.png') as is_stored,
@@ -143,7 +143,7 @@ def colour_profiles(t):
 
 @query(
     "json_pointers",
-    "JS1 JS6 A17 S8 S21",
+    "JS1 JS6 A17",
     f"""with {EV} select event_id, cast(k as varchar) as pointer, least(greatest(cast(k as double), 10.0), 50.0) as setting, cast(k as double) as extract_ms, cast(k * 2 as double) as align_ms from ev""",
 )
 def json_pointers(t):
@@ -158,7 +158,7 @@ def json_pointers(t):
 
 @query(
     "json_issues",
-    "JS7 P25 P13 P14",
+    "JS7 P25",
     f"""with {EV} select event_id, case when k % 2 = 0 then 'fps+old' else 'old' end as codes, k % 3 = 0 as flag from ev""",
 )
 def json_issues(t):
@@ -170,7 +170,7 @@ def json_issues(t):
 
 @query(
     "json_recursion",
-    "JS2 JS3 JS4 JS5 JS8 X3",
+    "JS2 JS3 JS4 JS5 JS8",
     f"""with {EV} select event_id, 3::bigint as scalars, '{{"a":{{"x":' || k || ',"y":"<home>/f"}},"b":[1]}}' as merged, cast(k as varchar) as found from ev""",
 )
 def json_recursion(t):
@@ -197,7 +197,7 @@ def document_merge_policy(t):
 
 @query(
     "text_cameras",
-    "S1 S2 S6",
+    "S2",
     """select p_partkey as camera_id, 'OPENCV' as model, p_size * 10 as width, cast(2 as bigint) as n_params, p_retailprice as focal from part where p_partkey % 10 <> 0""",
 )
 def text_cameras(t):
@@ -209,7 +209,7 @@ def text_cameras(t):
 
 @query(
     "text_points",
-    "S4 S5 S7 P2",
+    "S4",
     """select l_orderkey as point3d_id, cast(count(*) as bigint) as track_length, cast(min(l_suppkey) as bigint) as first_image, 0.5 as err from lineitem group by 1""",
 )
 def text_points(t):
@@ -237,7 +237,7 @@ def tool_output(t):
 
 @query(
     "sample_expansion",
-    "S12 S11 S13",
+    "S12",
     f"""with {EV} select event_id, cast(i as bigint) as sample_index, round(ms + i / 4.0 * 1000.0, 3) as sample_ts from ev, range(4) r(i) where event_type = 'view'""",
 )
 def sample_expansion(t):
@@ -248,7 +248,7 @@ def sample_expansion(t):
 
 @query(
     "rotation_lines",
-    "K14 K7",
+    "K14",
     f"""with {EV} select event_id, '1 1.00000000000000000 0.00000000000000000 ' || case when k % 2 = 0 then '0.50000000000000000' else '-0.25000000000000000' end || ' 0.00000000000000000 0 0 0' as line from ev""",
 )
 def rotation_lines(t):

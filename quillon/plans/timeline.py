@@ -26,7 +26,7 @@ GAP = 20_000_000.0
 
 @query(
     "interval_best_pair",
-    "J1 W3 W4 K1",
+    "J1 W3 W4",
     f"""
     with {EV}, a as (select * from ev where event_type = 'view'), b as (select * from ev where event_type = 'click'),
     j as (select a.user_id, cast(floor(a.ms / 86400000) as bigint) as day, a.event_id as id_0, b.event_id as id_1,
@@ -50,7 +50,7 @@ def interval_best_pair(t):
 
 @query(
     "asof_attitude",
-    "J5 J5d Q3 S9",
+    "J5 J5d Q3",
     BRACKET + f"""select source, pos, round(case when ts = lt then lw else {_S[0]} / {_N} end, 6) as w,
         round(case when ts = lt then lx else {_S[1]} / {_N} end, 6) as x,
         round(case when ts = lt then ly else {_S[2]} / {_N} end, 6) as y,
@@ -214,7 +214,7 @@ def broken(t):
 
 @query(
     "attitude_diagnostics",
-    "A5 W2 S10",
+    "A5 W2",
     f"""with {EV}, {BROKEN},
     m as (select *, ts is not null and w * w + x * x > 0 as ok from bad),
     g as (select *, last_value(ts ignore nulls) over (partition by source order by pos rows between unbounded preceding and 1 preceding) as pt,
@@ -354,7 +354,7 @@ def gyro_integration(t):
     return out.select("source", "ts", *[r6(F.get("q", F.lit(i))).alias(c) for i, c in enumerate("wxyz")], "gaps", "duplicate", "problem")
 
 
-@query("gravity_fusion", "W5 W8 S9")
+@query("gravity_fusion", "W5 W8")
 def gravity_fusion(t):
     i = F.explode(F.sequence(F.lit(0), F.lit(300))).alias("i")
     imu = t.ev.select(F.col("event_id").alias("source"), "value", i)

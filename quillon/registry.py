@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import tables, text, timeline  # noqa: F401  (they register their queries)
+from quillon.plans import stores, tables, text, timeline  # noqa: F401  (they register their queries)
 from quillon.plans.base import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]

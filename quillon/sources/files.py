@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillon.functions import strings as S
-from quillon.functions.numeric import is_finite
+from quillon.functions.numeric import fraction, is_finite
+from quillon.storage import scratch_path
 
 
 def listing(spark: SparkSession, root: str, recursive: bool = True, glob: str = "*") -> DataFrame:
@@ -41,9 +48,9 @@ def model_folder(names: DataFrame) -> DataFrame:
     return found.select(F.coalesce(folder, F.when(F.col("any"), F.lit("sparse"))).alias("folder"))
 
 
-def json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One document a file, by a given schema; what does not fit is null."""
-    return spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+def json_documents(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """One document a file, or with ``lines`` a line, by a given schema; what does not fit is null."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).option("mode", "PERMISSIVE").json(path)
 
 
 def still_valid(cached: DataFrame, schema_version: int, revision: str) -> Column:
@@ -141,3 +148,115 @@ def finite_samples(samples: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows whose array of three is finite, for each column."""
     ok = {c: F.count_if((F.size(c) == 3) & F.forall(c, is_finite)).alias(c) for c in columns}
     return samples.agg(*ok.values())
+
+
+def write_pair(first: tuple[DataFrame, str], second: tuple[DataFrame, str]) -> None:
+    """Two tables at two paths, both or neither.
+
+    Both are written beside their places first, so a failure there changes
+    nothing; then the old ones are moved away and the new ones in, and a move
+    that fails is undone in reverse order.
+    """
+    spark = first[0].sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(first[1]).getFileSystem(spark._jsc.hadoopConfiguration())
+    mark, places = uuid.uuid4().hex, [first[1].rstrip("/"), second[1].rstrip("/")]
+    done: list[tuple[str, str]] = []
+
+    def move(a: str, b: str) -> None:
+        if not store.rename(path(a), path(b)):
+            raise OSError(f"{a} could not be moved to {b}")
+        done.append((a, b))
+
+    try:
+        for (df, _), place in zip((first, second), places):
+            df.write.parquet(f"{place}.new-{mark}")
+        for place in places:
+            if store.exists(path(place)):
+                move(place, f"{place}.old-{mark}")
+            move(f"{place}.new-{mark}", place)
+    except Exception:
+        for a, b in reversed(done):
+            store.rename(path(b), path(a))
+        raise
+    finally:
+        for place in places:
+            for kind in ("new", "old"):
+                store.delete(path(f"{place}.{kind}-{mark}"), True)
+
+
+# -------------------------------------------------------------------- SQLite
+
+
+def sqlite_file(spark: SparkSession, table: str, columns: str, rows: list[tuple]) -> str:
+    """A small database file with one table, in the shared folder; that must be a mounted one."""
+    path = scratch_path(spark, "sqlite").removeprefix("file:") + ".db"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with sqlite3.connect(path) as db:
+        db.execute(f"create table {table} ({columns})")
+        db.executemany(f"insert into {table} values ({', '.join('?' * len(rows[0]))})", rows)
+    db.close()
+    return path
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of a database file, opened read-only and read by ranges of its row numbers."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        low, high = db.execute(f"select min(rowid), max(rowid) from {table}").fetchone()
+        for pdf in batches:
+            for i in pdf["id"]:
+                a, b = (low + (high - low + 1) * j // parts for j in (int(i), int(i) + 1)) if low is not None else (0, 0)
+                found = db.execute(f"select {', '.join(names)} from {table} where rowid >= ? and rowid < ?", (a, b))
+                while rows := found.fetchmany(10_000):
+                    yield pd.DataFrame(rows, columns=names)
+        db.close()
+
+    return spark.range(0, parts, 1, parts).mapInPandas(run, schema)
+
+
+# -------------------------------------------------------- listings and probes
+
+#: Extensions of the files that count as sources.
+SOURCE_EXTENSIONS = ("insv", "360", "osv", "mp4", "mov", "mkv")
+PROBE = (
+    "streams array<struct<codec_type:string,width:int,height:int,r_frame_rate:string>>, format struct<duration:string>"
+)
+
+
+def sources(listed: DataFrame) -> DataFrame:
+    return listed.filter(S.has_extension("name", SOURCE_EXTENSIONS))
+
+
+def ranked(listed: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """Adds ``place``: the row's number in order of ``key``, by first characters, their counts, and the order among equals."""
+    head = F.substring(key, 1, 4)
+    sizes = listed.groupBy(head.alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_h")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_h").orderBy(key))
+    out = listed.withColumn("_h", head).withColumn("place", own).join(sizes, "_h")
+    return out.withColumn("place", F.col("place") + F.col("_before")).drop("_h", "_before")
+
+
+def model_folders(names: DataFrame, by: list[str]) -> DataFrame:
+    """As :func:`model_folder`, for each group of names."""
+    below = F.regexp_extract("name", r"^sparse/([^/]+)/", 1)
+    found = names.groupBy(*by).agg(
+        F.max(below == "0").alias("zero"), F.min(F.nullif(below, F.lit(""))).alias("first"), F.max(F.col("name").startswith("sparse/")).alias("any")
+    )
+    folder = F.when(F.col("zero"), F.lit("sparse/0")).when(F.col("first").isNotNull(), F.concat(F.lit("sparse/"), "first"))
+    return found.select(*by, F.coalesce(folder, F.when(F.col("any"), F.lit("sparse"))).alias("folder"))
+
+
+def probed(rows: DataFrame, document: str) -> DataFrame:
+    """Adds width, height, fps and duration_ms of a probe document's first video stream."""
+    doc = F.from_json(document, PROBE)
+    video = F.get(F.filter(doc["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    return rows.withColumns(
+        {
+            "width": video["width"], "height": video["height"], "fps": fraction(video["r_frame_rate"]),
+            "duration_ms": doc["format"]["duration"].try_cast("double") * 1000,
+        }
+    )

@@ -183,13 +183,13 @@ def pair_counts(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count_if(ok).alias("pairs"), F.count_if(~ok).alias("malformed"))
 
 
-def colour_cube_status(lines: DataFrame) -> DataFrame:
-    """One row: size, rows, and whether a colour cube is whole: one size of 2 .. 256, size cubed rows of three finite numbers."""
+def colour_cube_status(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row for each cube (one without ``by``): size, rows, and whether a colour cube is whole: one size of 2 .. 256, size cubed rows of three finite numbers."""
     key = F.upper(F.get("tokens", F.lit(0)))
     size = F.when(key == "LUT_3D_SIZE", _at(1, "int"))
     numeric = _at(0, "double").isNotNull()
     good = numeric & (F.size("tokens") == 3) & is_finite(_at(0, "double")) & is_finite(_at(1, "double")) & is_finite(_at(2, "double"))
-    out = lines.agg(
+    out = lines.groupBy(*(by or [])).agg(
         F.count(size).alias("sizes"), F.max(size).alias("size"), F.count_if(numeric).alias("rows"), F.count_if(numeric & ~good).alias("bad_rows")
     )
     n = F.col("size").cast("bigint")

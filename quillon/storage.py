@@ -47,7 +47,7 @@ def _shuffles_removed(spark: SparkSession):
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later reads survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillon/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     with _shuffles_removed(spark):
         df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -55,6 +55,11 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{scratch_dir(spark)}/quillon/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of :func:`materialize` that nothing reads any more, as what was made of them is itself written."""
     for table in tables:
