@@ -43,11 +43,17 @@ def with_previous(
     return out.drop("_b", *[f"_{k}_{n}" for k in "vpe" for n in values])
 
 
-def running_total(rows: DataFrame, by: list[str], order: str, value: Column, out: str, bucket: float, whole: str | None = None) -> DataFrame:
-    """Adds the sum of ``value`` up to and with each row in order, and the source's sum as ``whole``; dealt as :func:`with_previous`."""
+def running_total(rows: DataFrame, by: list[str], order: str, value: Column, out: str, bucket: float, whole: str | None = None,
+                  peers: bool = False) -> DataFrame:
+    """Adds the sum of ``value`` up to and with each row in order, and the source's sum as ``whole``; dealt as :func:`with_previous`.
+
+    With ``peers`` rows of equal order have the same sum, that with all of them.
+    """
     key = [*by, "_b"]
     rows = rows.withColumns({"_b": F.floor(F.col(order) / bucket), "_n": value})
-    inside = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*key).orderBy(order)
+    frame = inside.rangeBetween if peers else inside.rowsBetween
+    inside = frame(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.groupBy(*key).agg(F.sum("_n").alias("_s"))
     edge = edge.select(*key, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.sum("_s").over(Window.partitionBy(*by)).alias("_all"))

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby, islice
+from math import acos, cos, degrees, isfinite, radians, sin, sqrt
+from operator import and_
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillon.functions import quaternion as Q
 from quillon.functions.numeric import is_finite
 from quillon.operators import asof
 from quillon.operators.statistics import exact_ranks
+from quillon.storage import materialize
 
 #: Spans of time, and of source order, that a task holds of one source at a time.
 BUCKET_MS = 86_400_000.0
 BUCKET_ROWS = 65_536
+#: The span of time of one inertial task, and the rows it gives out at a time.
+FOLD_MS = 3_600_000.0
+FOLD_ROWS = 8192
 #: Fixed values of the inertial rules.
 GAP_WARNING_MS = 100.0
 GAP_LIMIT_MS = 2000.0
@@ -26,6 +38,8 @@ INLIER_DEGREES = 35.0
 RMS_DEGREES = 15.0
 MIN_SAMPLES = 16
 JUMP_DEGREES = 90.0
+SIGNS = (-1.0, 1.0)
+IDENTITY = (1.0, 0.0, 0.0, 0.0)
 
 
 def angular_speed(samples: DataFrame, by: list[str], ts: str = "ts", q: str = "q") -> DataFrame:
@@ -73,9 +87,14 @@ def attitude_diagnostics(samples: DataFrame, by: list[str], ts: str = "ts", orde
 
 def gap_segments(samples: DataFrame, by: list[str], ts: str, gap_ms: float = GAP_WARNING_MS) -> DataFrame:
     """Adds ``segment``: its number grows where the step to the sample before is above the gap."""
-    rows = asof.with_previous(samples, by, ts, {"_before": F.col(ts)}, BUCKET_MS)
+    return _segments(samples, by, ts, gap_ms, BUCKET_MS).drop("_before")
+
+
+def _segments(samples: DataFrame, by: list[str], ts: str, gap_ms: float, bucket: float) -> DataFrame:
+    """``segment``, the same for rows of equal time, and ``_before``, the time of the sample before."""
+    rows = asof.with_previous(samples, by, ts, {"_before": F.col(ts)}, bucket)
     new = F.when(F.col(ts) - F.col("_before") > gap_ms, 1).otherwise(0)
-    return asof.running_total(rows, by, ts, new, "segment", BUCKET_MS).drop("_before")
+    return asof.running_total(rows, by, ts, new, "segment", bucket, peers=True)
 
 
 def sampling_grid(ranges: DataFrame, by: list[str], most: int = 100_001) -> DataFrame:
@@ -107,22 +126,77 @@ def upper_median(rows: DataFrame, by: list[str], value: str, least: int = MIN_SA
 # ------------------------------------------------------------ ordered folds
 
 
-def _by_source(samples: DataFrame, by: list[str], fold, schema: str) -> DataFrame:
-    """A fold over each source's rows; a source is held by one task, as its state runs through all of it."""
-    names = [f"{c} {dict(samples.dtypes)[c]}" for c in by]
+def _folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], fold, schema: str) -> DataFrame:
+    """``fold`` over the rows of each key, in order: it is given an iterator of tuples of ``columns`` and yields tuples of ``schema``.
+
+    A task reads its keys one after the other and holds a batch of rows at a time.
+    """
+    named = rows.select(*keys, *order, *[c for c in columns if c not in order])
+    place = {c: i for i, c in enumerate(named.columns)}
+    picked = [place[c] for c in columns]
+    k = len(keys)
+    types = StructType([named.schema[c] for c in keys] + StructType.fromDDL(schema).fields)
+    arrow = to_arrow_schema(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+        out = (
+            (*key, *made)
+            for key, group in groupby(every, key=lambda r: r[:k])
+            for made in fold(tuple(r[i] for i in picked) for r in group)
+        )
+        while part := list(islice(out, FOLD_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), arrow)], schema=arrow)
+
+    return named.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, types)
+
+
+def _with(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which null meets null."""
+    right = other.withColumnsRenamed({c: f"_k_{c}" for c in keys})
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return rows.join(right, on, how).drop(*[f"_k_{c}" for c in keys])
+
+
+def _finite(v) -> bool:
+    return v is not None and len(v) == 3 and all(x is not None and isfinite(x) for x in v)
+
+
+def _cross(a, b) -> tuple[float, float, float]:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def _dot(a, b) -> float:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _mix(a, b, k: float) -> tuple[float, float, float]:
+    return tuple(x * (1 - k) + y * k for x, y in zip(a, b))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf)
-        for c, k in zip(by, key):
-            out.insert(0, c, k)
-        return out[[*by, *[c for c in out.columns if c not in by]]]
 
-    return samples.groupBy(*by).applyInPandas(run, ", ".join([*names, schema]))
+def _unit(v) -> tuple:
+    size = sqrt(sum(x * x for x in v))
+    return tuple(x / size for x in v)
 
 
-def _triples(column: pd.Series) -> np.ndarray:
-    rows = [v if v is not None and len(v) == 3 else (np.nan,) * 3 for v in column]
-    return np.array(rows, dtype=float).reshape(-1, 3)
+def product(a, b) -> np.ndarray:
+    """The product of two quaternions, scalar first."""
+    return np.array(_product(tuple(a), tuple(b)))
+
+
+def _product(a, b) -> tuple[float, float, float, float]:
+    c = _cross(a[1:], b[1:])
+    return a[0] * b[0] - _dot(a[1:], b[1:]), *[a[0] * b[i] + b[0] * a[i] + c[i - 1] for i in (1, 2, 3)]
+
+
+def _rotation(before, after, ms: float) -> tuple[float, float, float, float]:
+    """The turn of a step between two rates in degrees per second, by their mean."""
+    omega = [radians((x + y) / 2) for x, y in zip(before, after)]
+    speed = sqrt(_dot(omega, omega))
+    if not speed > Q.EPS_TELEMETRY:
+        return IDENTITY
+    half = speed * ms / 1000 / 2
+    return cos(half), *[x * (sin(half) / speed) for x in omega]
 
 
 def integrate_gyro(samples: DataFrame, by: list[str], ts: str = "ts", order: str = "pos", gyro: str = "gyro") -> DataFrame:
@@ -131,143 +205,179 @@ def integrate_gyro(samples: DataFrame, by: list[str], ts: str = "ts", order: str
     Rows that are not finite are left out; of equal times the first counts.  A
     source with a step above two seconds, or fewer than two samples, has no
     rows but one with ``problem``.
-    """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        t, g = pdf[ts].to_numpy(float), _triples(pdf[gyro])
-        ok = np.isfinite(t) & np.isfinite(g).all(axis=1)
-        t, g = t[ok], g[ok]
-        backward, same = int((np.diff(t) < 0).sum()), int((np.diff(t) == 0).sum())
-        t, first = np.unique(t, return_index=True)
-        g = g[first]
-        dt = np.diff(t)
-        base = {"backward": backward, "duplicate": same, "gaps": int((dt > GAP_WARNING_MS).sum())}
-        problem = "too few samples" if len(t) < 2 else "gap too long" if (dt > GAP_LIMIT_MS).any() else None
-        if problem:
-            return pd.DataFrame([{"ts": None, "q": None, **base, "problem": problem}])
-        omega = np.radians((g[1:] + g[:-1]) / 2)
-        speed = np.linalg.norm(omega, axis=1)
-        half = speed * dt / 1000 / 2
-        scale = np.divide(np.sin(half), speed, out=np.zeros_like(speed), where=speed > Q.EPS_TELEMETRY)
-        delta = np.column_stack([np.where(speed > Q.EPS_TELEMETRY, np.cos(half), 1.0), omega * scale[:, None]])
-        q, out = np.array([1.0, 0, 0, 0]), [np.array([1.0, 0, 0, 0])]
-        for d in delta:
-            q = product(q, d)
-            q = q / np.linalg.norm(q)
-            out.append(q)
-        return pd.DataFrame({"ts": t, "q": [x.tolist() for x in out], **base, "problem": None})
-
-    return _by_source(
-        samples, by, fold, "ts double, q array<double>, backward long, duplicate long, gaps long, problem string"
+    Turns are multiplied within buckets of time first, then the buckets of a
+    source in order, so a long source is many tasks.
+    """
+    rate = F.col(gyro).cast("array<double>")
+    good = is_finite(ts) & (F.size(rate) == 3) & F.forall(rate, lambda x: F.coalesce(is_finite(x), F.lit(False)))
+    rows = samples.select(*by, F.col(order).alias("_o"), F.when(good, F.col(ts).cast("double")).alias("ts"), rate.alias("_g"))
+    in_order = asof.with_previous(rows, by, "_o", {"_pt": F.col("ts")}, BUCKET_ROWS, known=True)
+    counts = in_order.groupBy(*by).agg(
+        F.count_if(F.col("ts") < F.col("_pt")).alias("backward"), F.count_if(F.col("ts") == F.col("_pt")).alias("duplicate")
+    )
+    first = rows.filter("ts is not null").groupBy(*by, "ts").agg(F.min(F.struct("_o", "_g")).alias("_f"))
+    first = first.select(*by, "ts", F.col("_f._g").alias("_g"))
+    steps = asof.with_previous(first, by, "ts", {"_pt": F.col("ts"), "_pg": F.col("_g")}, FOLD_MS)
+    steps = steps.withColumn("_b", F.floor(F.col("ts") / FOLD_MS))
+    dt = F.col("ts") - F.col("_pt")
+    spans = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(dt > GAP_WARNING_MS).alias("_gaps"), F.max(dt).alias("_longest"))
+    problem = F.when(F.coalesce("_n", F.lit(0)) < 2, "too few samples").when(F.col("_longest") > GAP_LIMIT_MS, "gap too long")
+    counts = _with(counts, spans, by, "left").select(
+        *by, "backward", "duplicate", F.coalesce("_gaps", F.lit(0).cast("long")).alias("gaps"), problem.alias("problem")
     )
 
-
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w, v, s, u = a[0], a[1:], b[0], b[1:]
-    return np.concatenate(([w * s - v @ u], w * u + s * v + np.cross(v, u)))
-
-
-def _turn(v: np.ndarray, omega: np.ndarray, angle: float) -> np.ndarray:
-    axis = omega / np.linalg.norm(omega)
-    out = v * np.cos(angle) + np.cross(axis, v) * np.sin(angle) + axis * (axis @ v) * (1 - np.cos(angle))
-    return out / np.linalg.norm(out)
-
-
-def lowpass(t: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Low-passed vectors and the seconds since the last reset (a step above the gap)."""
-    out, since = np.full_like(a, np.nan), np.zeros(len(t))
-    state, elapsed, before = None, 0.0, None
-    for i, (now, raw) in enumerate(zip(t, a)):
-        dt = 0.001 if before is None or not now > before else (now - before) / 1000
-        if dt * 1000 > GAP_WARNING_MS:
-            state, elapsed = None, 0.0
-        if np.isfinite(raw).all():
-            alpha = min(max(dt / (LOWPASS_S + dt), 1e-4), 1.0)
-            state = raw if state is None else state * (1 - alpha) + raw * alpha
-        elapsed += dt
-        before = now
-        if state is not None:
-            out[i] = state
-        since[i] = elapsed
-    return out, since
-
-
-def gravity_magnitude(t: np.ndarray, a: np.ndarray) -> float | None:
-    """The upper median of the low-passed length, after the warm-up, of every n-th sample."""
-    smooth, since = lowpass(t, a)
-    n = max(len(t) // 4096, 1)
-    size = np.linalg.norm(smooth, axis=1)
-    use = (since >= WARMUP_S) & (np.arange(len(t)) % n == 0) & (size >= MAGNITUDE[0]) & (size <= MAGNITUDE[1])
-    picked = np.sort(size[use])
-    return float(picked[len(picked) // 2]) if len(picked) >= MIN_SAMPLES else None
-
-
-def _fuse(t, gyro, accl, magnitude: float, sign: float):
-    """Directions, times, and the angles of accepted corrections, of one gyro convention."""
-    state, smooth, before, elapsed = None, None, None, 0.0
-    out, corrections = [], []
-    for now, g, raw in zip(t, gyro, accl):
-        step = (now - before) / 1000 if before is not None and now > before else None
-        if step is not None and step * 1000 > GAP_WARNING_MS:
-            state, smooth, elapsed = None, None, 0.0
-        elif state is not None and step is not None and np.isfinite(g).all():
-            omega = np.radians(g)
-            speed = np.linalg.norm(omega)
-            if speed > Q.EPS_TELEMETRY:
-                state = _turn(state, omega, sign * speed * step)
-        dt = min(max(0.001 if step is None else step, 1e-4), 0.1)
-        if np.isfinite(raw).all():
-            alpha = min(max(dt / (LOWPASS_S + dt), 1e-4), 1.0)
-            smooth = raw if smooth is None else smooth * (1 - alpha) + raw * alpha
+    def whole(group):
+        q = IDENTITY
+        for t, g, pt, pg in group:
+            if pt is not None:
+                q = _unit(_product(q, _rotation(pg, g, t - pt)))
+        yield (list(q),)
+
+    def chain(group):
+        q = IDENTITY
+        for b, turn in group:
+            yield b, list(q)
+            q = _unit(_product(q, turn))
+
+    def each(group):
+        q = None
+        for t, g, pt, pg, start, *rest in group:
+            q = q or tuple(start)
+            if pt is not None:
+                q = _unit(_product(q, _rotation(pg, g, t - pt)))
+            yield t, list(q), *rest
+
+    step = ["ts", "_g", "_pt", "_pg"]
+    turns = _folded(steps, [*by, "_b"], ["ts"], step, whole, "_turn array<double>")
+    starts = _folded(turns, by, ["_b"], ["_b", "_turn"], chain, "_b long, _start array<double>")
+    starts = _with(starts, counts.filter("problem is null"), by)
+    rest = ["backward", "duplicate", "gaps", "problem"]
+    begun = _with(steps, starts, [*by, "_b"])
+    given = "ts double, q array<double>, backward long, duplicate long, gaps long, problem string"
+    paths = _folded(begun, [*by, "_b"], ["ts"], [*step, "_start", *rest], each, given).drop("_b")
+    none = [F.lit(None).cast("double").alias("ts"), F.lit(None).cast("array<double>").alias("q")]
+    return paths.unionByName(counts.filter("problem is not null").select(*by, *none, *rest))
+
+
+def _lowpass(state, raw, dt: float):
+    """The low-passed vector after a sample; one that is not finite changes nothing."""
+    if not _finite(raw):
+        return state
+    return tuple(raw) if state is None else _mix(state, raw, min(max(dt / (LOWPASS_S + dt), 1e-4), 1.0))
+
+
+def _settled_lengths(group):
+    """The low-passed lengths of every n-th sample of a segment after the warm-up, within the limits of gravity."""
+    smooth, elapsed = None, 0.0
+    for now, before, raw, use in group:
+        dt = (now - before) / 1000 if before is not None and now > before else 0.001
+        smooth = _lowpass(smooth, raw, dt)
         elapsed += dt
-        measured = None
-        if smooth is not None and elapsed >= WARMUP_S:
-            size = np.linalg.norm(smooth)
-            if MAGNITUDE_RATIO[0] * magnitude <= size <= MAGNITUDE_RATIO[1] * magnitude and size > Q.EPS_TELEMETRY:
-                measured = -smooth / size
-        if measured is not None and state is None:
-            state = measured
-        elif measured is not None:
-            away = np.degrees(np.arccos(np.clip(state @ measured, -1, 1)))
-            if away <= INLIER_DEGREES:
-                corrections.append(away)
-                k = min(max(dt / (1.5 + dt), 1e-4), 0.08)
-                mixed = state * (1 - k) + measured * k
-                state = mixed / np.linalg.norm(mixed)
-        before = now
-        if state is not None:
-            out.append((now, state))
-    return out, np.array(corrections)
+        if use and smooth is not None and elapsed >= WARMUP_S:
+            size = sqrt(_dot(smooth, smooth))
+            if MAGNITUDE[0] <= size <= MAGNITUDE[1]:
+                yield (size,)
+
+
+class GravityFilter:
+    """The downward direction of one gyro convention through a segment; its state is two vectors and a time."""
+
+    def __init__(self, magnitude: float, sign: float):
+        self.magnitude, self.sign = magnitude, sign
+        self.state, self.smooth, self.elapsed = None, None, 0.0
+
+    def step(self, now: float, before: float | None, gyro, raw) -> float | None:
+        """Takes a sample; the angle of the correction, if there is one."""
+        span = (now - before) / 1000 if before is not None and now > before else None
+        if self.state is not None and span is not None and _finite(gyro):
+            self._turn([radians(x) for x in gyro], span)
+        dt = min(max(0.001 if span is None else span, 1e-4), 0.1)
+        self.smooth = _lowpass(self.smooth, raw, dt)
+        self.elapsed += dt
+        measured = self._measured()
+        if measured is None:
+            return None
+        if self.state is None:
+            self.state = measured
+            return None
+        away = degrees(acos(min(max(_dot(self.state, measured), -1.0), 1.0)))
+        if away > INLIER_DEGREES:
+            return None
+        self.state = _unit(_mix(self.state, measured, min(max(dt / (1.5 + dt), 1e-4), 0.08)))
+        return away
+
+    def _turn(self, omega, span: float) -> None:
+        speed = sqrt(_dot(omega, omega))
+        if not speed > Q.EPS_TELEMETRY:
+            return
+        axis, v = [x / speed for x in omega], self.state
+        c, s = cos(self.sign * speed * span), sin(self.sign * speed * span)
+        side, along = _cross(axis, v), _dot(axis, v) * (1 - c)
+        self.state = _unit([v[i] * c + side[i] * s + axis[i] * along for i in range(3)])
+
+    def _measured(self):
+        if self.smooth is None or self.elapsed < WARMUP_S:
+            return None
+        size = sqrt(_dot(self.smooth, self.smooth))
+        low, high = (r * self.magnitude for r in MAGNITUDE_RATIO)
+        if not low <= size <= high or not size > Q.EPS_TELEMETRY:
+            return None
+        return tuple(-x / size for x in self.smooth)
+
+
+def _trial(group):
+    """How both gyro signs fare on a segment: samples with a direction, corrections, and the sum of their squared angles."""
+    filters, sums = None, [[0, 0, 0.0], [0, 0, 0.0]]
+    for now, before, g, a, magnitude in group:
+        filters = filters or [GravityFilter(magnitude, sign) for sign in SIGNS]
+        for one, total in zip(filters, sums):
+            away = one.step(now, before, g, a)
+            total[0] += one.state is not None
+            if away is not None:
+                total[1] += 1
+                total[2] += away * away
+    for sign, total in zip(SIGNS, sums):
+        yield sign, *total
+
+
+def _directions(group):
+    one = None
+    for now, before, g, a, magnitude, sign, corrections, rms in group:
+        one = one or GravityFilter(magnitude, sign)
+        one.step(now, before, g, a)
+        if one.state is not None:
+            yield now, list(one.state), corrections, rms, sign
 
 
 def fuse_gravity(samples: DataFrame, by: list[str], ts: str = "ts", gyro: str = "gyro", accl: str = "accl") -> DataFrame:
     """The downward direction in sensor coordinates over time, and how the correction fared.
 
     Both gyro signs are tried; more accepted corrections win, then the smaller
-    rms.  A source without a usable answer has no rows.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf[ts].to_numpy(float))].sort_values(ts, kind="stable")
-        t, g, a = pdf[ts].to_numpy(float), _triples(pdf[gyro]), _triples(pdf[accl])
-        none = pd.DataFrame({"ts": [], "v": [], "corrections": [], "rms_deg": [], "gyro_sign": []})
-        size = gravity_magnitude(t, a) if len(t) else None
-        if size is None:
-            return none
-        best = None
-        for sign in (-1.0, 1.0):
-            rows, found = _fuse(t, g, a, size, sign)
-            if len(rows) < MIN_SAMPLES or len(found) < MIN_SAMPLES:
-                continue
-            rms = float(np.sqrt((found**2).mean()))
-            if rms <= RMS_DEGREES and (best is None or (len(found), -rms) >= (best[1], -best[2])):
-                best = (rows, len(found), rms, sign)
-        if best is None:
-            return none
-        rows, n, rms, sign = best
-        return pd.DataFrame(
-            {"ts": [r[0] for r in rows], "v": [r[1].tolist() for r in rows], "corrections": n, "rms_deg": rms, "gyro_sign": sign}
-        )
+    rms.  A source without a usable answer, or that is null, has no rows.
 
-    return _by_source(samples, by, fold, "ts double, v array<double>, corrections long, rms_deg double, gyro_sign double")
+    The filter starts anew after a gap, so the segments between gaps are
+    folded apart, each a row at a time.  They are written once, since they are
+    read for the size of gravity, for the trial of the signs and for the result.
+    """
+    vector = lambda c: F.col(c).cast("array<double>")
+    rows = samples.filter(is_finite(ts)).select(*by, F.col(ts).cast("double").alias("ts"), vector(gyro).alias("_g"), vector(accl).alias("_a"))
+    rows = rows.dropna(subset=by)
+    rows = asof.running_total(rows, by, "ts", F.lit(1).cast("long"), "_i", FOLD_MS, whole="_count")
+    nth = F.greatest(F.call_function("div", F.col("_count"), F.lit(4096).cast("long")), F.lit(1))
+    rows = rows.withColumn("_use", (F.col("_i") - 1) % nth == 0).drop("_i", "_count")
+    rows = materialize(_segments(rows, by, "ts", GAP_WARNING_MS, FOLD_MS), "segments")
+    key, order = [*by, "segment"], ["ts", "_before"]
+    lengths = _folded(rows, key, order, [*order, "_a", "_use"], _settled_lengths, "_size double")
+    size = exact_ranks(lengths, by, {"_size": F.col("_size")}, upper_least=MIN_SAMPLES)
+    size = size.select(*by, F.col("_size_upper").alias("_size")).filter("_size is not null")
+    segments = rows.select(*key).distinct().join(size, by)
+    trials = _folded(rows.join(segments, key), key, order, [*order, "_g", "_a", "_size"], _trial, "_sign double, _n long, _c long, _s double")
+    fared = trials.groupBy(*by, "_sign").agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c"), F.sum("_s").alias("_s"))
+    fared = fared.filter((F.col("_n") >= MIN_SAMPLES) & (F.col("_c") >= MIN_SAMPLES)).withColumn("_rms", F.sqrt(F.col("_s") / F.col("_c")))
+    best = fared.filter(F.col("_rms") <= RMS_DEGREES).groupBy(*by).agg(F.max(F.struct("_c", (-F.col("_rms")).alias("_r"), "_sign")).alias("_best"))
+    best = best.select(*by, F.col("_best._c").alias("corrections"), (-F.col("_best._r")).alias("rms_deg"), F.col("_best._sign").alias("gyro_sign"))
+    found = rows.join(segments.join(best, by), key)
+    given = [*order, "_g", "_a", "_size", "gyro_sign", "corrections", "rms_deg"]
+    out = "ts double, v array<double>, corrections long, rms_deg double, gyro_sign double"
+    return _folded(found, key, order, given, _directions, out).drop("segment")
