@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.operators.graph import connected_components
-from quillon.storage import discard, materialize
+from quillon.storage import discard, materialize, remove_shuffles
 
-__all__ = ["connected_components", "discard", "materialize"]
+__all__ = ["connected_components", "discard", "materialize", "remove_shuffles"]
 
 
 _STEADY: list[bool] = []

@@ -3,10 +3,14 @@
 Unrelated texts all lie at distance 1 from each other, so pivots alone cannot
 part a corpus.  A first, exact step parts it into regions: within a size level
 the shingles are dealt into more classes than two linked sets can differ in, by
-one and a number to spare, so linked sets agree in that many whole classes, and
-sets that agree in a class that is not empty share a region.  Shingles that many
-texts share stay out of the classes.  (A set with more empty classes than there
-are to spare is also keyed by its first shingles, in hash order, of which
+the number wanted and a number to spare, so linked sets agree in that many whole
+classes.  Each set leaves out its smallest classes, as many as there are to
+spare; of the classes that linked sets agree in, these are the smallest, so the
+number wanted is left.  Pairs that agree in so many classes share a region: one
+class alone, such as a line that some texts share, would join unrelated texts,
+ever more of them as a corpus grows, until regions run together.  Shingles that
+many texts share stay out of the classes.  (A set with more empty classes than
+there are to spare is also keyed by its first shingles, in hash order, of which
 linked sets share one.)  No linked pair is lost, and equal
 sets are one set throughout.
 
@@ -39,6 +43,7 @@ from quillon.llm.common import (
     mix64,
     prefix_hash,
     range_hash,
+    remove_shuffles,
     runs_of,
     steady_memory,
     text_chunks,
@@ -56,13 +61,21 @@ COMMON_LEAST = 40
 COMMON_LOCAL = 4
 COMMON_BUFFER = 4_000_000
 MAX_COMMON = 200_000
+#: Low bits of a key that hold its level, and the number there of keys of which one is enough.
+LEVEL_BITS = 8
+ANY = (1 << LEVEL_BITS) - 1
+#: Sets of a key up to which its pairs are counted; above, the sets share a region.
+PAIRED = 32
 #: Keys that a task packs at a time, and sets whose digests it remembers so as not to send their keys twice.
 FLUSH_KEYS = 1_000_000
 MAX_SEEN = 500_000
 #: Sets up to which a cell is not parted by pivots again.
 LEAF = 8
-#: Sets of regions up to which their ids go to all tasks (48 bytes each), so texts stay where they are; above, texts are dealt by id.
+#: Sets of regions up to which they go to all tasks (48 bytes each), so texts stay where they are; above, texts are dealt by id,
+#: up to BROADCAST_IDS of them those of these sets alone.
 BROADCAST_CANDIDATES = 250_000
+#: Ids up to which they go to all tasks; above, rows are dealt by id.
+BROADCAST_IDS = 1_000_000
 #: Pivots of a cell: as the square root of its sets, within these bounds.
 PIVOTS = 8
 MAX_PIVOTS = 64
@@ -119,10 +132,18 @@ def size_levels(percent: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def class_counts(top, percent: int):
+    """Of sets of up to ``top`` shingles: classes in which linked ones agree at least, those to spare, and all."""
+    differ = 2 * top * (100 - percent) // (100 + percent)  # linked sets differ in no more shingles
+    wanted = np.where(differ > 0, differ // 10 + 2, 1)
+    spare = np.where(differ > 0, differ // 2 + 2, 0)
+    return wanted, spare, differ + wanted + spare
+
+
 def signatures(
     shingles: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray = np.zeros(0, np.uint64)
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the text each belongs to: texts that link share a key.
+    """Keys, and the text each belongs to: texts that link share one of level ``ANY``, or as many of one level as it wants.
 
     The level of a pair is that of its larger set, so a set takes part in its
     own level and, near that level's end, in the next.  The sorted ``common``
@@ -144,28 +165,29 @@ def signatures(
             continue
         level, n = own[here] + up, left[here]
         top = low[level + 1] - 1
-        # linked sets of sizes up to top differ in fewer shingles than this; some classes more may be empty
-        classes = 2 * top * (100 - percent) // (100 + percent) + 1
-        spare = classes // 6 + 2 * (classes > 1)
-        classes = classes + spare
+        _, spare, classes = class_counts(top, percent)
         salt = mix64(level.astype(np.uint64) + np.uint64(77))
         base, total = np.cumsum(classes) - classes, int(classes.sum())
         x = mix64(kept[expand(before[here], n)] + np.repeat(salt, n))
         slot = np.repeat(base, n) + (x % np.repeat(classes, n).astype(np.uint64)).astype(np.int64)
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, slot, mix64(x ^ np.uint64(0xA5A5A5A5)))
-        held = np.bincount(slot, minlength=total) > 0
+        count = np.bincount(slot, minlength=total)
+        held = count > 0
         of = np.repeat(np.arange(len(here)), classes)
         number = (np.arange(total) - base[of]).astype(np.uint64)
-        key = mix64(sums + mix64(salt[of] + number))
-        keys.append(key[held])
-        owners.append(here[of[held]])
+        key = mix64(sums + mix64(salt[of] + number)) & ~np.uint64(ANY) | level[of].astype(np.uint64)
+        # classes by their shingles, then by key: two sets put those they agree in into the same order
+        order = np.lexsort((key, count, of))
+        use = order[held[order] & (np.arange(total) - base[of] >= spare[of])]
+        keys.append(key[use])
+        owners.append(here[of[use]])
         # the first shingles, by hash and the common ones last, of sets with too many empty classes
         for i in np.flatnonzero(np.bincount(of[~held], minlength=len(here)) > spare):
             own_set = slice(bounds[here[i]], bounds[here[i] + 1])
             ordered = np.concatenate((shingles[own_set][rare[own_set]], shingles[own_set][~rare[own_set]]))
             length = len(ordered) - -(-percent * len(ordered) // 100) + 1
-            keys.append(mix64(mix64(ordered[:length] ^ salt[i]) + np.uint64(3)))
+            keys.append(mix64(mix64(ordered[:length] ^ salt[i]) + np.uint64(3)) | np.uint64(ANY))
             owners.append(np.full(length, here[i]))
     return np.concatenate(keys), np.concatenate(owners)
 
@@ -426,8 +448,24 @@ def _keys(docs: DataFrame, k: int, percent: int, ranges: int, common: np.ndarray
     return docs.mapInArrow(run, "part int, keys binary")
 
 
-def _regions(blobs: DataFrame) -> DataFrame:
-    """Links (a, b) between digests of sets that share a key: a spanning forest for each range of keys."""
+def key_pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes with a key in common, and its level; a key of level ``ANY``, or of too many nodes, gives a chain of that level."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))  # keys sent twice
+    key, node = key[new], node[new]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((first, [len(key)])))
+    level = (key[first] & np.uint64(ANY)).astype(np.int64)
+    ahead = np.repeat(first + size, size) - np.arange(len(key)) - 1  # nodes of the key behind this one
+    chain = np.repeat((level == ANY) | (size > PAIRED), size)
+    n = np.where(chain, np.minimum(ahead, 1), ahead)
+    i = np.repeat(np.arange(len(key)), n)
+    return node[i], node[expand(np.arange(1, len(key) + 1), n)], np.where(chain, ANY, np.repeat(level, size))[i]
+
+
+def _regions(blobs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between digests of sets that share as many keys as linked sets do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_memory()
@@ -435,16 +473,19 @@ def _regions(blobs: DataFrame) -> DataFrame:
             key, node = map(np.concatenate, zip(*(unpack_keys(blob.as_buffer()) for blob in rows.column(1))))
             order = np.argsort(key, kind="stable")
             key, node = key[order], node[order]
-            same = np.flatnonzero(key[1:] == key[:-1])
-            if not len(same):
+            same = np.concatenate(([False], key[1:] == key[:-1]))
+            same |= np.concatenate((same[1:], [False]))
+            if not same.any():
                 continue
-            names, code = np.unique(np.concatenate((node[same], node[same + 1])), return_inverse=True)
-            root = union_roots(code[: len(same)], code[len(same) :], len(names))
-            moved = np.flatnonzero(root != np.arange(len(names)))
-            if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], names=["a", "b"])
+            a, b, level = key_pairs(key[same], node[same])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(level)], names=["a", "b", "level"])
 
-    return blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint")
+    pairs = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint, level bigint")
+    wanted = class_counts(size_levels(percent)[1:] - 1, percent)[0].tolist()
+    enough = F.get(F.array(*[F.lit(int(x)) for x in wanted]), F.col("level").cast("int"))
+    counts = pairs.groupBy("a", "b", "level").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter((F.col("level") == ANY) | (F.col("n") >= enough)).select("a", "b")
 
 
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
@@ -493,7 +534,7 @@ def jaccard_classes(
     ranges = int(min(8192, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     digests = materialize(_digests(rows, k), "jaccard-sizes")
     each = digests.filter("common is null").select("doc_id", "n", "h1", "h2")
-    regions = connected_components(_regions(_keys(rows, k, percent, ranges, _common(digests))), "jaccard-regions")
+    regions = connected_components(_regions(_keys(rows, k, percent, ranges, _common(digests)), percent), "jaccard-regions")
     known = each.filter("n > 0 and doc_id is not null")
     sets = materialize(
         known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")),
@@ -519,9 +560,13 @@ def jaccard_classes(
                 cols = [part.column(c).take(pa.array(ok)) for c in (0, 3, 4, 5)]
                 yield pa.RecordBatch.from_arrays([*cols, blobs], names=["rep", "copies", "region", "shares", "shingles"])
 
-    if cand.count() <= BROADCAST_CANDIDATES:
+    remove_shuffles(spark)  # the keys', before texts are dealt
+    texts, many = rows.filter("doc_id is not null"), cand.count()
+    if many <= BROADCAST_CANDIDATES:
         cand = F.broadcast(cand)
-    texts = rows.filter("doc_id is not null").join(cand, F.col("doc_id") == F.col("rep"))
+    elif many <= BROADCAST_IDS:  # texts of other sets stay where they are
+        texts = texts.join(F.broadcast(cand.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    texts = texts.join(cand, F.col("doc_id") == F.col("rep"))
     texts = texts.select("rep", "h1", "h2", "copies", "region", "shares", "text")
     held = texts.mapInArrow(shingled, "rep bigint, copies bigint, region bigint, shares bigint, shingles binary")
     held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shares")))
@@ -549,10 +594,6 @@ def jaccard_classes(
     )
 
 
-#: Ids of dropped rows up to which they go to all tasks; above, rows are dealt by id.
-BROADCAST_IDS = 1_000_000
-
-
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without those whose class has a smaller doc_id.
 

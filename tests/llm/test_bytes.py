@@ -78,6 +78,40 @@ def test_linked_sets_share_a_key(sets):
     assert len(truth) > 100 and truth <= shared
 
 
+def test_a_shared_line_does_not_join_regions(monkeypatch):
+    """Texts of 60 words of their own with a line that all share: they have keys in common, but too few to meet."""
+    rng = np.random.default_rng(9)
+    line = [f"line{i}" for i in range(14)]
+    texts = [" ".join([*line, *(f"w{x}" for x in rng.integers(0, 1 << 40, 60))]).encode() for _ in range(300)]
+    near = texts[0].replace(texts[0].split()[-1], b"other")
+    texts.append(near)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    shingles, bounds = J.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, 5)
+    keys, owners = J.signatures(shingles, bounds, 80)
+    order = np.argsort(keys, kind="stable")
+    monkeypatch.setattr(J, "PAIRED", 1000)
+    a, b, level = J.key_pairs(keys[order], owners[order])
+    wanted = J.class_counts(J.size_levels(80)[1:] - 1, 80)[0]
+    pairs, n = np.unique(np.stack([a, b, level], 1), axis=0, return_counts=True)
+    met = {(x, y) for (x, y, v), m in zip(pairs.tolist(), n.tolist()) if v == J.ANY or m >= wanted[v]}
+    assert (0, 300) in met and len(pairs) > 1 and len(met) <= 2
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_linked_pairs_share_the_wanted_keys(percent):
+    rng = np.random.default_rng(percent)
+    wanted = J.class_counts(J.size_levels(percent)[1:] - 1, percent)[0]
+    for n in [1, 2, 3, 5, 8, 13, 20, 37, 60, 99, 150, 300, 700] * 8:
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        kept = int(rng.integers(-(-percent * n // 100), n + 1))
+        more = rng.integers(0, 1 << 63, kept * 100 // percent - n, dtype=np.uint64)
+        b = np.unique(np.concatenate((rng.choice(a, kept, replace=False), more)))
+        common = np.sort(rng.choice(a, int(rng.integers(0, n + 1)), replace=False))
+        keys, owners = J.signatures(np.concatenate((a, b)), np.array([0, n, n + len(b)]), percent, common)
+        level = J.key_pairs(keys, owners)[2]
+        assert any(v == J.ANY or (level == v).sum() >= wanted[v] for v in np.unique(level))
+
+
 @pytest.mark.parametrize("leaf,heavy", [(4, 2048), (16, 2048), (256, 3)])
 def test_region_join_is_exact(sets, monkeypatch, leaf, heavy):
     shingles, bounds, ref, truth = sets

@@ -63,6 +63,16 @@ def test_jaccard_classes(spark, region):
         assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(ref[i]), want[i], degree[i])
 
 
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_jaccard_of_many_candidates(spark, monkeypatch, ids):
+    """Above the first bound the sets are not broadcast; up to the second only their own texts are dealt."""
+    texts = [f"{i // 2} b c d e f g h i j k l m n o p q r s t {i // 2}" for i in range(20)]
+    wanted = sorted(map(tuple, jaccard_join.jaccard_classes(docs_frame(spark, texts)).collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_CANDIDATES", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", ids)
+    assert sorted(map(tuple, jaccard_join.jaccard_classes(docs_frame(spark, texts)).collect())) == wanted
+
+
 def test_jaccard_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_classes(empty).count() == 0
