@@ -7,9 +7,10 @@ row that does not parse is dropped and can be counted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby, islice, takewhile
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.numeric import is_finite
@@ -23,14 +24,14 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def data_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of lines that are neither blank nor comments, trimmed; numbers count from 1.
+    """(file, block, text) of lines that are neither blank nor comments, trimmed.
 
-    Numbers need a file to be read by one task; readers that do not need them
-    use :func:`token_lines`.
+    Files are split over tasks; a block's lines come one after the other, in
+    the file's order, and ``block`` is where it begins.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    lines = lines.select("file", (F.col("line") + 1).alias("line"), F.trim("text").alias("text"))
+    text = F.trim(F.regexp_replace("value", r"\r\z", ""))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), text.alias("text"))
     return lines.filter("text <> '' and not startswith(text, '#')")
 
 
@@ -105,10 +106,82 @@ def frames(lines: DataFrame) -> DataFrame:
     )
 
 
-IMAGES = (
-    "image_id bigint, q array<double>, t array<double>, camera_id bigint, name string, observed_point_count bigint,"
-    " registered boolean"
-)
+#: Rows that a reader gives out at a time.
+IMAGE_ROWS = 4096
+
+
+def _head(tokens: list[str]) -> tuple | None:
+    """An image's first line: id, pose, camera, name; none if it does not parse."""
+    if len(tokens) < 10:
+        return None
+    try:
+        pose = [float(x) for x in tokens[1:8]]
+        return int(tokens[0]), pose[:4], pose[4:], int(tokens[8]), " ".join(tokens[9:])
+    except ValueError:
+        return None
+
+
+def _seen(tokens: list[str]) -> int:
+    """Observations of an image's second line that have a point."""
+    return sum(1 for x in tokens[2::3] if x.lstrip("-").isdigit() and int(x) >= 0)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]):
+    """(file, block, lines) of stretches of lines of one block."""
+    for batch in batches:
+        rows = zip(*[c.to_pylist() for c in batch.columns])
+        for key, group in groupby(rows, key=lambda r: r[:2]):
+            yield *key, [r[2] for r in group]
+
+
+def _block_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per block: observations of its first line, first lines at its end, one after the other, and whether all are first lines."""
+    names = ["file", "block", "first", "run", "whole"]
+    for (file, block), pieces in groupby(_pieces(batches), key=lambda p: p[:2]):
+        first, run, whole = None, 0, True
+        for _, _, lines in pieces:
+            first = _seen(lines[0].split()) if first is None else first
+            n = sum(1 for _ in takewhile(lambda x: _head(x.split()), reversed(lines)))
+            run, whole = (run + n, whole) if n == len(lines) else (n, False)
+        yield pa.RecordBatch.from_pydict(dict(zip(names, [[file], [block], [first], pa.array([run], pa.int64()), [whole]])))
+
+
+_IMAGE = pa.schema(
+    [("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("image_id", pa.int64()), ("q", pa.list_(pa.float64())),
+     ("t", pa.list_(pa.float64())), ("camera_id", pa.int64()), ("name", pa.string()), ("seen", pa.int64())]
+)
+IMAGE_LINES = "file string, block bigint, place bigint, image_id bigint, q array<double>, t array<double>, camera_id bigint, name string, seen bigint"
+
+
+def _block_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The images of each block.
+
+    A line that is no first line ends an image or none, so behind it first
+    lines are images and second lines by turns.  ``place`` counts the block's
+    lines up to there, whose turn the blocks before decide; null behind it.
+    ``seen`` is null if the second line is in the next block.
+    """
+    def rows():
+        for (file, block), pieces in groupby(_pieces(batches), key=lambda p: p[:2]):
+            run, open_, held = 0, True, None
+            for line in chain.from_iterable(lines for _, _, lines in pieces):
+                tokens = line.split()
+                if held is not None:
+                    yield *held, _seen(tokens)
+                    held = None
+                head = _head(tokens)
+                if head is None:
+                    run, open_ = 0, False
+                    continue
+                if open_ or run % 2 == 0:
+                    held = (file, block, run if open_ else None, *head)
+                run += 1
+            if held is not None:
+                yield *held, None
+
+    out = rows()
+    while part := list(islice(out, IMAGE_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _IMAGE)], schema=_IMAGE)
 
 
 def images(lines: DataFrame) -> DataFrame:
@@ -116,34 +189,21 @@ def images(lines: DataFrame) -> DataFrame:
 
     Blank lines are gone before the pairing, so an image without observations
     takes the next line as its own.  A first line that does not parse is one
-    line; reading goes on with the next.  A file is read in order by one task.
+    line; reading goes on with the next.  Blocks of a file are read apart, a
+    batch of lines at a time: what one needs of the others is a row for each.
     """
-
-    def parse(tokens: list[list[str]]) -> Iterator[tuple]:
-        i = 0
-        while i < len(tokens):
-            t = tokens[i]
-            try:
-                if len(t) < 10:
-                    raise ValueError
-                ident, camera = int(t[0]), int(t[8])
-                pose = [float(x) for x in t[1:8]]
-            except ValueError:
-                i += 1
-                continue
-            seen = 0
-            if i + 1 < len(tokens):
-                third = tokens[i + 1][2::3]
-                seen = sum(1 for x in third if x.lstrip("-").isdigit() and int(x) >= 0)
-            yield ident, pose[:4], pose[4:], camera, " ".join(t[9:]), seen, True
-            i += 2
-
-    names = [c.split()[0] for c in IMAGES.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(parse([x.split() for x in pdf.sort_values("line")["text"]]), columns=names)
-
-    return lines.groupBy("file").applyInPandas(run, IMAGES)
+    ends = lines.mapInArrow(_block_ends, "file string, block bigint, first bigint, run bigint, whole boolean")
+    order = Window.partitionBy("file").orderBy("block")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, 1)
+    # first lines one after the other up to a block: all since the last block that has another line
+    ends = ends.withColumn("all", F.coalesce(F.sum(F.when(F.col("whole"), F.col("run"))).over(order), F.lit(0).cast("long")))
+    since = F.coalesce(F.last(F.when(~F.col("whole"), F.col("run") - F.col("all")), ignorenulls=True).over(before), F.lit(0).cast("long"))
+    ends = ends.select("file", "block", (F.coalesce(F.last("all").over(before), F.lit(0).cast("long")) + since).alias("_in"), F.first("first").over(behind).alias("_next"))
+    found = lines.mapInArrow(_block_images, IMAGE_LINES).join(ends, ["file", "block"])
+    return found.filter("place is null or (place + _in) % 2 = 0").select(
+        "image_id", "q", "t", "camera_id", "name", F.coalesce("seen", "_next", F.lit(0).cast("long")).alias("observed_point_count"),
+        F.lit(True).alias("registered"),
+    )
 
 
 def frame_links(frame_rows: DataFrame) -> DataFrame:

@@ -332,6 +332,39 @@ def test_text_model(spark, model_folder, tmp_path):
     assert tuple(text_model.pair_counts(spark.createDataFrame([(["a", "b"],), (["c"],)], "tokens array<string>")).first()) == (1, 1)
 
 
+@pytest.mark.parametrize("size", [64, 150, 100_000])
+def test_images_of_split_files(spark, tmp_path, size):
+    """Files of many blocks give the images that one reading in order gives; runs of first lines go over blocks."""
+    rng = np.random.default_rng(4)
+    lines = []
+    for i in range(300):
+        kind = rng.integers(0, 6)
+        lines.append(["", "# note", "no pose", "1.5 2.5 3 1.5 2.5 -1"][kind] if kind < 4 and not 100 < i < 140 else f"{i} 1 0 0 0 0 0 {i % 3} 7 a  b{i}.jpg")
+    for name, part, end in (("a.txt", lines, "\n"), ("b.txt", lines[::-1], "\r\n")):
+        (tmp_path / name).write_bytes(end.join(part).encode())
+    want = []
+    for part in (lines, lines[::-1]):
+        data, i = [x.split() for x in part if x and not x.startswith("#")], 0
+        while i < len(data):
+            if len(data[i]) < 10:
+                i += 1
+                continue
+            after = data[i + 1][2::3] if i + 1 < len(data) else []
+            want.append((int(data[i][0]), " ".join(data[i][9:]), sum(x.lstrip("-").isdigit() and int(x) >= 0 for x in after)))
+            i += 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        read = text_model.data_lines(spark, str(tmp_path))
+        assert size > 1000 or read.select("file", "block").distinct().count() > 20
+        got = text_model.images(read).select("image_id", "name", "observed_point_count").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "lens0").mkdir()
     (tmp_path / "lens0" / "f_0003.JPG").write_bytes(b"abc")
