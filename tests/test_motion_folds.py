@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.operators import motion
@@ -158,3 +159,39 @@ def test_folds_of_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert motion.integrate_gyro(none, ["source"]).count() == 0
     assert motion.fuse_gravity(none, ["source"]).count() == 0
+
+
+def test_folds_in_step_are_the_folds():
+    """Many segments at once give what each gives by itself: nulls, bad vectors, equal times, lengths of one row and more."""
+    rng = np.random.default_rng(12)
+    cols, bounds = [[] for _ in range(9)], [0]
+    for n in [1, 2, 150, 700, 301, 301, 90]:
+        ts = np.cumsum(rng.choice([0.0, 5.0, 10.0, 60.0], n))
+        magnitude, sign = rng.uniform(9, 11), rng.choice([-1.0, 1.0])
+        for i in range(n):
+            bad = rng.integers(0, 40)
+            odd = {0: None, 1: [1.0, 2.0], 2: [1.0, None, 2.0], 3: [1.0, math.nan, 2.0]}
+            g = odd[bad] if bad in odd else (rng.normal(0, 30, 3) * (bad > 8)).tolist()
+            a = odd[bad - 4] if bad - 4 in odd else [0.0, float(rng.normal()), 9.8]
+            row = (ts[i], ts[i - 1] if i else None, g, a, magnitude, sign, 7, 1.5, bool(rng.integers(0, 2)))
+            for c, v in zip(cols, row):
+                c.append(v)
+        bounds.append(bounds[-1] + n)
+    kinds = [pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
+    arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
+    for picked, fold, step in (
+        ([0, 1, 3, 8], motion._settled_lengths, motion._settled_in_step),
+        ([0, 1, 2, 3, 4], motion._trial, motion._trial_in_step),
+        ([0, 1, 2, 3, 4, 5, 6, 7], motion._directions, motion._directions_in_step),
+    ):
+        of, made = step([arrays[i] for i in picked], np.array(bounds))
+        made = [c.to_pylist() if isinstance(c, pa.Array) else c.tolist() for c in made]
+        seen = 0
+        for s, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+            want = list(fold(tuple(cols[i][r] for i in picked) for r in range(lo, hi)))
+            got = [tuple(c[r] for c in made) for r in np.flatnonzero(of == s)]
+            assert len(got) == len(want)
+            seen += len(want)
+            for g, w in zip(got, want):
+                assert np.allclose(np.hstack(g), np.hstack(w), rtol=1e-9, atol=1e-9)
+        assert seen > 10
