@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quillon.functions import quaternion as Q
-from quillon.functions.numeric import is_finite
+from quillon.functions.numeric import INF, is_finite
 from quillon.operators import asof, motion
 from quillon.storage import discard, materialize
 
@@ -114,7 +114,7 @@ def _moments(probes: np.ndarray, samples: np.ndarray, grid: np.ndarray) -> np.nd
     total = np.zeros((len(grid), 6))
     if not len(samples):
         return total
-    probes, samples = probes[np.lexsort(probes.T[::-1])], samples[np.lexsort(samples.T[::-1])]
+    probes, samples = (rows[np.lexsort(rows.T[::-1])] if len(rows) > 1 else rows for rows in (probes, samples))
     at, value = samples.T
     size, last = max(BLOCK // len(grid), 1), len(at) - 1
     for start in range(0, len(probes), size):
@@ -126,15 +126,27 @@ def _moments(probes: np.ndarray, samples: np.ndarray, grid: np.ndarray) -> np.nd
         met = exact | ((k >= 0) & (k < last))
         t = (asked - at[left]) / (at[right] - at[left])
         y = np.where(exact, value[left], value[left] * (1 - t) + value[right] * t)
-        # from the first value on, so what does not change has no spread at all
-        dx, dy, n = np.where(met, x - x[0], 0.0), np.where(met, y - value[0], 0.0), met.sum(axis=1)
+        if len(x) == 1:
+            one = np.column_stack([met, np.broadcast_to(x, y.shape), y, np.zeros((len(grid), 3))])
+            total = _together(total, np.where(met, one, 0.0)) if start else np.where(met, one, 0.0)
+            continue
+        # from one of the values on, so what does not change has no spread at all
+        x0, y0 = _origin(x), _origin(value)
+        dx, dy, n = np.where(met, x - x0, 0.0), np.where(met, y - y0, 0.0), met.sum(axis=1)
         mx, my = dx.sum(axis=1) / np.maximum(n, 1), dy.sum(axis=1) / np.maximum(n, 1)
         dx, dy = np.where(met, dx - mx[:, None], 0.0), np.where(met, dy - my[:, None], 0.0)
         products = [(u * v).sum(axis=1) for u, v in ((dx, dx), (dy, dy), (dx, dy))]
-        total = _together(total, np.stack([n, mx + x[0], my + value[0], *products], axis=1))
+        part = np.stack([n, mx + x0, my + y0, *products], axis=1)
+        total = _together(total, part) if start else part
     return total
 
 
+def _origin(values: np.ndarray) -> float:
+    """The first finite value."""
+    known = np.flatnonzero(np.isfinite(values))
+    return values[known[0]] if len(known) else 0.0
+
+
 def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The moments of two sets of pairs as those of one."""
     n = a[:, 0] + b[:, 0]
@@ -146,6 +158,22 @@ def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((a[:, 0] == 0)[:, None], b, np.where((b[:, 0] == 0)[:, None], a, np.stack(one, axis=1)))
 
 
+def _all_together(parts: np.ndarray, size: int) -> np.ndarray:
+    """A row of moments for each offset, from rows of its index and the moments of some of its pairs."""
+    at, (n, mx, my, *products) = parts[:, 0].astype(int), parts[:, 1:].T
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        return np.bincount(at, x, minlength=size)
+
+    pairs = summed(n)
+    some = np.maximum(pairs, 1)
+    # from one of the means on, as in :func:`_moments`
+    means = [x0 + summed(n * (x - x0)) / some for x, x0 in ((mx, _origin(mx)), (my, _origin(my)))]
+    dx, dy = mx - means[0][at], my - means[1][at]
+    products = [summed(p + n * u * v) for p, u, v in zip(products, (dx, dy, dx), (dx, dy, dy))]
+    return np.stack([pairs, *means, *products], axis=1)
+
+
 def _correlations(moments: np.ndarray) -> np.ndarray:
     """As :func:`pearson` has them; NaN where there is none."""
     spread = np.sqrt(moments[:, 3] * moments[:, 4])
@@ -179,11 +207,7 @@ def _scores(slow: DataFrame, fast: DataFrame, by: list[str], config: Config, bes
         yield (np.column_stack([np.full(len(keep), bucket), keep, found[keep]]),)
 
     def whole(parts):
-        total = np.zeros((len(grid), 6))
-        parts = parts[np.lexsort((parts[:, 1], parts[:, 0]))]
-        for part in np.split(parts, np.flatnonzero(np.diff(parts[:, 0])) + 1):
-            at = part[:, 1].astype(int)
-            total[at] = _together(total[at], part[:, 2:])
+        total = _all_together(parts[np.lexsort((parts[:, 0], parts[:, 1]))][:, 1:], len(grid))
         correlation = _correlations(total)
         for k in _best(total, config.min_samples) if best else np.flatnonzero(total[:, 0]):
             yield grid[k], None if np.isnan(correlation[k]) else correlation[k], int(total[k, 0])
@@ -225,6 +249,7 @@ def _best_offset(slow: DataFrame, fast: DataFrame, by: list[str], config: Config
     low = F.least("visual_excitation_deg", "telemetry_excitation_deg") < config.min_excitation_deg
     problem = (
         F.when(few, "too few samples")
+        .when(F.greatest("visual_excitation_deg", "telemetry_excitation_deg") == INF, "invalid attitude")
         .when(low, "low excitation")
         .when(F.col("offset_ms").isNull(), "no overlap")
         .when(F.col("correlation") < config.min_correlation, "low correlation")

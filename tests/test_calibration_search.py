@@ -84,11 +84,11 @@ def test_pairs_a_stride_apart(spark, sides):
 
 
 def test_an_invalid_attitude_is_no_match(spark):
-    """Its speeds are infinite, and no correlation is known with them (it was given as 1 at each offset)."""
+    """Its speeds are infinite, no correlation is known with them (it was given as 1 at each offset), and the source is not valid."""
     rows = [(i * 40.0, attitude(i)) for i in range(60)]
     broken = [(t, q * (i != 30)) for i, (t, q) in enumerate(rows)]
     r = calibration.best_offset(series(spark, {"s": rows}), series(spark, {"s": broken}), ["source"]).first()
-    assert not r.valid and r.correlation is None
+    assert not r.valid and r.correlation is None and r.problem == "invalid attitude"
 
 
 def most_rows(plan):
