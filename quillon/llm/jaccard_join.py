@@ -8,11 +8,12 @@ classes.  Each set leaves out its smallest classes, as many as there are to
 spare; of the classes that linked sets agree in, these are the smallest, so the
 number wanted is left.  Pairs that agree in so many classes share a region: one
 class alone, such as a line that some texts share, would join unrelated texts,
-ever more of them as a corpus grows, until regions run together.  Shingles that
-many texts share stay out of the classes.  (A set with more empty classes than
-there are to spare is also keyed by its first shingles, in hash order, of which
-linked sets share one.)  No linked pair is lost, and equal
-sets are one set throughout.
+ever more of them as a corpus grows, until regions run together.  Sets that
+are joined through the smallest set of their keys are not counted in pairs.
+Shingles that many texts share stay out of the classes.  (A set with more empty
+classes than there are to spare is also keyed by its first shingles, in hash
+order, of which linked sets share one.)  No linked pair is lost, and equal sets
+are one set throughout.
 
 Within a region pivots make Voronoi cells by Jaccard distance.  By the triangle
 inequality a set can link into the cell of pivot q only if its distance to q is
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import (
     _LOWER,
     connected_components,
+    discard,
     expand,
     materialize,
     mix64,
@@ -449,7 +451,10 @@ def _keys(docs: DataFrame, k: int, percent: int, ranges: int, common: np.ndarray
 
 
 def key_pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes with a key in common, and its level; a key of level ``ANY``, or of too many nodes, gives a chain of that level."""
+    """Pairs of nodes with a key in common, and its level; a key of level ``ANY``, or of too many nodes, gives a chain of that level.
+
+    Regions are what enough of these pairs join; ``_regions`` finds them without all pairs.
+    """
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))  # keys sent twice
@@ -464,8 +469,35 @@ def key_pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return node[i], node[expand(np.arange(1, len(key) + 1), n)], np.where(chain, ANY, np.repeat(level, size))[i]
 
 
+def key_groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of two nodes at least: the key, where its nodes begin (one entry more than keys), and the nodes, sorted.
+
+    A key of level ``ANY``, or of too many nodes, becomes keys of that level
+    with ``PAIRED`` nodes at most, each of which starts with the last of the one before.
+    """
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))  # keys sent twice
+    key, node = key[new], node[new]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((first, [len(key)])))
+    first, size = first[size > 1], size[size > 1]
+    parts = -(-(size - 1) // (PAIRED - 1))
+    at = expand(np.zeros(len(parts), np.int64), parts) * (PAIRED - 1)
+    begin, many = np.repeat(first, parts) + at, np.minimum(np.repeat(size, parts) - at, PAIRED)
+    name = key[begin]
+    name[np.repeat(parts > 1, parts)] |= np.uint64(ANY)
+    return name, np.concatenate(([0], np.cumsum(many))), node[expand(begin, many)]
+
+
 def _regions(blobs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between digests of sets that share as many keys as linked sets do."""
+    """(node, component) of the digests of sets that share as many keys as linked sets do, through others or at once.
+
+    Of a key's sets each is first counted with the smallest alone, as near
+    copies agree in key after key and all pairs of each key would grow with the
+    square of their number.  What that links is one component; only sets of a
+    key that are of different components are then counted in pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steady_memory()
@@ -477,15 +509,39 @@ def _regions(blobs: DataFrame, percent: int) -> DataFrame:
             same |= np.concatenate((same[1:], [False]))
             if not same.any():
                 continue
-            a, b, level = key_pairs(key[same], node[same])
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(level)], names=["a", "b", "level"])
-
-    pairs = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a bigint, b bigint, level bigint")
+            name, bounds, nodes = key_groups(key[same], node[same])
+            if len(name):
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(nodes))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), lists], names=["key", "nodes"])
+
+    groups = blobs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "key bigint, nodes array<bigint>")
+    groups = materialize(groups, "jaccard-shared", codec="lz4")
+    level = F.col("key").bitwiseAND(F.lit(ANY).cast("long")).cast("int").alias("level")
     wanted = class_counts(size_levels(percent)[1:] - 1, percent)[0].tolist()
-    enough = F.get(F.array(*[F.lit(int(x)) for x in wanted]), F.col("level").cast("int"))
-    counts = pairs.groupBy("a", "b", "level").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter((F.col("level") == ANY) | (F.col("n") >= enough)).select("a", "b")
+    enough = (F.col("level") == ANY) | (F.col("n") >= F.get(F.array(*[F.lit(int(x)) for x in wanted]), F.col("level")))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b", "level").agg(F.count(F.lit(1)).alias("n"))
+
+    hub = F.get("nodes", F.lit(0))
+    stars = groups.select(hub.alias("a"), F.explode(F.slice("nodes", 2, PAIRED)).alias("b"), level)
+    stars = materialize(counted(stars), "jaccard-stars")
+    links = stars.filter(enough).select("a", "b")
+    known = connected_components(links, "jaccard-near")
+
+    def placed(rows: DataFrame, node: str, component: str) -> DataFrame:
+        by = known.select(F.col("node").alias(node), F.col("component").alias("_of"))
+        return rows.join(by, node, "left").withColumn(component, F.coalesce("_of", node)).drop("_of")
+
+    # first sets of keys whose sets lie apart
+    apart = placed(placed(stars.filter(~enough).select("a", "b"), "a", "at"), "b", "other").filter("at <> other").select("a").distinct()
+    rest = groups.filter(level != ANY).join(apart, hub == F.col("a"), "left_semi").select("key", F.explode("nodes").alias("node"))
+    rest = materialize(placed(rest, "node", "at"), "jaccard-apart", codec="lz4")
+    one, two = (rest.select("key", F.col("node").alias(x), F.col("at").alias(f"at_{x}")) for x in "ab")
+    pairs = one.join(two, "key").filter("a < b and at_a <> at_b").select("a", "b", level)
+    out = connected_components(links.unionAll(counted(pairs).filter(enough).select("a", "b")), "jaccard-regions")
+    discard(groups, stars, rest)
+    return out
 
 
 def _join_regions(sets: DataFrame, percent: int) -> DataFrame:
@@ -534,7 +590,7 @@ def jaccard_classes(
     ranges = int(min(8192, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     digests = materialize(_digests(rows, k), "jaccard-sizes")
     each = digests.filter("common is null").select("doc_id", "n", "h1", "h2")
-    regions = connected_components(_regions(_keys(rows, k, percent, ranges, _common(digests)), percent), "jaccard-regions")
+    regions = _regions(_keys(rows, k, percent, ranges, _common(digests)), percent)
     known = each.filter("n > 0 and doc_id is not null")
     sets = materialize(
         known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")),

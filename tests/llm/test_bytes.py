@@ -112,6 +112,59 @@ def test_linked_pairs_share_the_wanted_keys(percent):
         assert any(v == J.ANY or (level == v).sum() >= wanted[v] for v in np.unique(level))
 
 
+def test_near_copies_make_rows_in_step_with_their_keys():
+    """30 sets that agree in 200 keys: a row for each key, where all pairs would be 87,000."""
+    keys = np.repeat(np.arange(200, dtype=np.uint64) << np.uint64(J.LEVEL_BITS) | np.uint64(20), 30)
+    nodes = np.tile(np.arange(30), 200)
+    name, bounds, held = J.key_groups(np.tile(keys, 2), np.tile(nodes, 2))  # each key sent twice
+    assert len(J.key_pairs(keys, nodes)[0]) == 87_000
+    assert len(name) == len(set(name.tolist())) == 200 and len(held) == bounds[-1] == 6000
+    assert (np.diff(held.reshape(200, 30)) == 1).all()
+
+
+@pytest.mark.parametrize("n", [2, 31, 32, 33, 63, 64, 500])
+def test_large_keys_are_cut_into_pieces_that_overlap(n):
+    name, bounds, held = J.key_groups(np.full(n, 7 << J.LEVEL_BITS | 20, np.uint64), np.arange(n)[::-1].copy())
+    pieces = [held[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert all(2 <= len(x) <= J.PAIRED for x in pieces) and sorted({x for p in pieces for x in p}) == list(range(n))
+    assert all(x[-1] == y[0] for x, y in zip(pieces, pieces[1:]))
+    assert set((name & np.uint64(J.ANY)).tolist()) == {20 if n <= J.PAIRED else J.ANY}
+    assert all(len(x) == 0 for x in J.key_groups(np.arange(n, dtype=np.uint64), np.arange(n))[::2])
+
+
+def test_regions_are_those_of_all_pairs(spark):
+    """Groups of sets that share many keys or few, within groups and across, some keys held by very many."""
+    rng = np.random.default_rng(31)
+    level = np.uint64(22)
+    wanted = int(J.class_counts(J.size_levels(80)[1:] - 1, 80)[0][22])
+    keys, nodes = [], []
+    for x in range(1200):
+        members = 40 * rng.integers(0, 25, rng.integers(1, 3))  # of one group of 40 nodes, or of two
+        held = np.unique(np.concatenate([m + rng.integers(0, 40, rng.integers(1, 40 if x % 100 == 0 else 9)) for m in members]))
+        mark = np.uint64(J.ANY) if x % 150 == 7 else level
+        keys += [np.full(len(held), np.uint64(x * 0x9E3779B97F4A7C15 & (1 << 64) - 1) & ~np.uint64(J.ANY) | mark)]
+        nodes += [held.astype(np.int64) * 1_000_003 - 400_000_000]
+    for group in range(2, 9):  # near copies: pairs that share enough, and one key less
+        for copy, shared in enumerate((wanted, wanted - 1, wanted)):
+            keys += [np.uint64(group * 64 + copy + 1 << 40) + (np.repeat(np.arange(shared, dtype=np.uint64), 2) << np.uint64(J.LEVEL_BITS)) | level]
+            nodes += [np.tile(np.array([10**9 + group * 10 + copy, 10**9 + group * 10 + copy + 1]), shared)]
+    for i in range(wanted):  # a pair whose keys have another smallest set each
+        keys += [np.full(3, np.uint64((1 << 50) + (i << J.LEVEL_BITS)) | level)]
+        nodes += [np.array([10**9 + 5 * 10**8 + i, 2 * 10**9, 2 * 10**9 + 1])]
+    keys, nodes = np.concatenate(keys), np.concatenate(nodes)
+    a, b, levels = J.key_pairs(keys, nodes)
+    pairs, n = np.unique(np.stack([a, b, levels], 1), axis=0, return_counts=True)
+    pairs = pairs[(pairs[:, 2] == J.ANY) | (n >= wanted)]
+    names = np.unique(pairs[:, :2])
+    root = common.union_roots(np.searchsorted(names, pairs[:, 0]), np.searchsorted(names, pairs[:, 1]), len(names))
+    order = np.lexsort((nodes, keys >> np.uint64(62)))
+    blobs = [(int(p), J.pack_keys(keys[use], nodes[use])) for p in range(4) for use in [order[(keys[order] >> np.uint64(62)) == p]] for _ in range(2)]
+    got = J._regions(spark.createDataFrame(blobs, "part int, keys binary"), 80).collect()
+    assert {(r.node, r.component) for r in got} == set(zip(names.tolist(), names[root].tolist()))
+    assert len(got) == len(names) and 10 < len(set(root.tolist())) < len(names) / 2
+    assert {2 * 10**9, 2 * 10**9 + 1} <= set(names.tolist())
+
+
 @pytest.mark.parametrize("leaf,heavy", [(4, 2048), (16, 2048), (256, 3)])
 def test_region_join_is_exact(sets, monkeypatch, leaf, heavy):
     shingles, bounds, ref, truth = sets
