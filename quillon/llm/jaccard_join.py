@@ -533,9 +533,10 @@ def _regions(blobs: DataFrame, percent: int) -> DataFrame:
         by = known.select(F.col("node").alias(node), F.col("component").alias("_of"))
         return rows.join(by, node, "left").withColumn(component, F.coalesce("_of", node)).drop("_of")
 
-    # first sets of keys whose sets lie apart
-    apart = placed(placed(stars.filter(~enough).select("a", "b"), "a", "at"), "b", "other").filter("at <> other").select("a").distinct()
-    rest = groups.filter(level != ANY).join(apart, hub == F.col("a"), "left_semi").select("key", F.explode("nodes").alias("node"))
+    # keys with a set that lies apart from their first
+    apart = placed(placed(stars.filter(~enough).select("a", "b").distinct(), "a", "at"), "b", "other").filter("at <> other")
+    holds = (hub == F.col("a")) & F.array_contains("nodes", F.col("b"))
+    rest = groups.filter(level != ANY).join(apart.select("a", "b"), holds, "left_semi").select("key", F.explode("nodes").alias("node"))
     rest = materialize(placed(rest, "node", "at"), "jaccard-apart", codec="lz4")
     one, two = (rest.select("key", F.col("node").alias(x), F.col("at").alias(f"at_{x}")) for x in "ab")
     pairs = one.join(two, "key").filter("a < b and at_a <> at_b").select("a", "b", level)
