@@ -155,6 +155,13 @@ def test_gravity_by_segments(spark, monkeypatch, bucket):
             assert any(np.allclose(r.v, v, atol=1e-9) for v in path[r.ts])
 
 
+def test_size_of_gravity_is_of_all_samples(spark):
+    """Every third sample is larger, and every third was all that long sources were judged by: the smaller ones were then no gravity."""
+    rows = [("s", i, i * 100.0, [0.0, 0.0, 0.0], [0.0, 0.0, 5.0 if i % 3 else 40.0]) for i in range(12_300)]
+    got = motion.fuse_gravity(spark.createDataFrame(rows, SCHEMA), ["source"]).collect()
+    assert len(got) > 12_280 and all(r.corrections > 12_280 for r in got)
+
+
 def test_folds_of_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert motion.integrate_gyro(none, ["source"]).count() == 0
